@@ -7,10 +7,12 @@ and chained comparisons get. Comparisons are true or false, never null.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrille import terms
@@ -29,7 +31,7 @@ class Value:
     column: Column
     error: Column | None = None
     constant: str | None = None
-    #: With an interpretation: (kind, value, error) and (lexical, error) read from the resource's literals.
+    #: Of a variable that was parsed before: (kind, value, error) and (lexical, error). See parse_variables.
     read: tuple[Column, Column, Column] | None = None
     any_read: tuple[Column, Column] | None = None
 
@@ -65,9 +67,9 @@ def unexpected(expected: str, found: Column) -> Column:
 _BOOL_TRUE, _BOOL_ALL = ("true", "1"), ("true", "false", "1", "0")
 
 
-def comparable_parts(term: Column) -> tuple[Column, Column, Column]:
-    """(kind b/d/s/r/a, text, error) of a resource term."""
-    lex = terms.lexical(term)
+def comparable_parts(term: Column, lex: Column | None = None) -> tuple[Column, Column, Column]:
+    """(kind b/d/s/r/a, text, error) of a resource term; ``lex`` is its lexical form, if at hand."""
+    lex = terms.lexical(term) if lex is None else lex
     boolean, decimal = terms.has_datatype(term, terms.BOOLEAN), terms.has_datatype(term, *terms.DECIMALS)
     string, regex = terms.has_datatype(term, terms.STRING), terms.has_datatype(term, terms.REGEX)
     kind = F.when(boolean, "b").when(decimal, "d").when(string, "s").when(regex, "r").otherwise("a")
@@ -76,6 +78,56 @@ def comparable_parts(term: Column) -> tuple[Column, Column, Column]:
     return kind, value, F.when(bad, fail("InvalidLiteral", term))
 
 
+def constant_parts(term: str) -> tuple[str, Column, Column | None]:
+    """comparable_parts of a term that the rule names: the kind is known when the rule is compiled."""
+    what, lex, datatype, lang = terms.split(term)
+    if what != "literal" or lang or datatype not in (terms.BOOLEAN, terms.STRING, terms.REGEX, *terms.DECIMALS):
+        return "a", F.lit(term), None
+    kind = {terms.BOOLEAN: "b", terms.STRING: "s", terms.REGEX: "r"}.get(datatype, "d")
+    fine = True
+    if kind == "b":
+        fine, lex = lex in _BOOL_ALL, "true" if lex in _BOOL_TRUE else "false"
+    elif kind == "d":
+        fine = re.search(terms.DECIMAL_LEXICAL.replace(r"\z", r"\Z"), lex) is not None
+    elif kind == "r":
+        try:
+            translate(lex)
+        except RegexError:
+            fine = False
+    return kind, F.lit(lex), None if fine else fail("InvalidLiteral", term)
+
+
+def parse_variables(df: DataFrame, wanted: Iterable[int], readings: DataFrame | None = None) -> tuple[DataFrame, Callable[[int], Value]]:
+    """``df`` (columns v<index>) with the parsed forms of variables in columns of their own, and the values made of them.
+
+    Expressions mention a variable's kind and text many times over. As columns of an earlier projection they are
+    computed once for each row, and what is compiled stays small. ``readings`` has what an interpretation says.
+    """
+    known = {}
+    for k in sorted(wanted):
+        n = {c: f"_{c}{k}" for c in ("kind", "value", "error", "lexical", "any_error")}
+        term, lex = F.col(f"v{k}"), F.col(f"_lex{k}")
+        there = None
+        if readings is not None:
+            own = readings.select(F.col("resource").alias(f"v{k}"), F.struct("kind", "value", "error", "lexical", "any_error").alias(f"_means{k}"))
+            df = df.join(own, f"v{k}", "left")
+            there = F.col(f"_means{k}")
+        kind, value, error = comparable_parts(term, lex)
+        made = {"kind": kind, "value": value, "error": error, "lexical": lex, "any_error": F.when(~terms.is_literal(term), unexpected("AnyLiteral", term))}
+        if there is not None:
+            made = {c: F.when(there.isNotNull(), there[c]).otherwise(x) for c, x in made.items()}
+        df = df.withColumn(f"_lex{k}", terms.lexical(term)).withColumns({n[c]: x for c, x in made.items()})
+        known[k] = n
+
+    def value_of(k: int) -> Value:
+        if k not in known:
+            return Value("resource", F.col(f"v{k}"))
+        c = {name: F.col(at) for name, at in known[k].items()}
+        return Value("resource", F.col(f"v{k}"), read=(c["kind"], c["value"], c["error"]), any_read=(c["lexical"], c["any_error"]))
+
+    return df, value_of
+
+
 def regex_ok(pattern: Column) -> Column:
     """Whether a pattern from the data can be used; only look-around and back-references are looked for."""
     return ~F.regexp_replace(pattern, r"\\\\", "").rlike(r"\(\?(?:[=!>]|<[=!])|\\[1-9]|\\k")
@@ -85,11 +137,12 @@ def any_literal_parts(term: Column) -> tuple[Column, Column]:
     return terms.lexical(term), F.when(~terms.is_literal(term), unexpected("AnyLiteral", term))
 
 
-def _comparable(v: Value) -> tuple[Column, Column, Column | None]:
+def comparable(v: Value) -> tuple[Column | str, Column, Column | None]:
+    """(kind, text, error); the kind is a string where it is known when the rule is compiled."""
     if v.kind == "resource":
-        return v.read or comparable_parts(v.column)
+        return v.read or (comparable_parts(v.column) if v.constant is None else constant_parts(v.constant))
     text = F.when(v.column, "true").otherwise("false") if v.kind == "boolean" else v.column
-    return F.lit(v.kind[0]), text, None
+    return v.kind[0], text, None
 
 
 def decimal_order(a: Column, b: Column) -> Column:
@@ -110,6 +163,16 @@ def decimal_order(a: Column, b: Column) -> Column:
     return F.when(short, fast).otherwise(exact)
 
 
+def _same_kind(op: str, kind: str, a: Column, b: Column) -> Column:
+    """A comparison of two texts of one kind."""
+    if kind == "r":
+        return F.lit(op == "!=")
+    if kind in ("a", "b"):
+        return F.lit(False) if op in ("<", ">") else a != b if op == "!=" else a == b
+    x, y = (a, b) if kind == "s" else (decimal_order(a, b), F.lit(0))
+    return {"=": x == y, "!=": x != y, "<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op]
+
+
 def compare(op: str, a: tuple, b: tuple) -> Column:
     """One comparison of (kind, text) pairs, true or false.
 
@@ -117,19 +180,19 @@ def compare(op: str, a: tuple, b: tuple) -> Column:
     expressions aren't even equal to themselves.
     """
     (ka, ta), (kb, tb) = a[:2], b[:2]
-    kinds = ka == kb
-    equal = F.when(~kinds | (ka == "r"), False).when(ka == "d", decimal_order(ta, tb) == 0).otherwise(ta == tb)
-    if op == "=":
-        out = equal
-    elif op == "!=":
-        out = ~equal
+    fixed = {k for k in (ka, kb) if isinstance(k, str)}
+    if "r" in fixed or len(fixed) == 2:
+        return F.lit(op == "!=")
+    if fixed:
+        same = _same_kind(op, next(iter(fixed)), ta, tb)
+    else:
+        same = F.when(ka == "d", _same_kind(op, "d", ta, tb)).when(ka == "s", _same_kind(op, "s", ta, tb)).when(ka == "r", _same_kind(op, "r", ta, tb))
+        same = same.otherwise(_same_kind(op, "a", ta, tb))
+    if isinstance(ka, str) and isinstance(kb, str):
+        out = same
     else:
-        strict = op[0]
-        order = decimal_order(ta, tb)
-        text, number = (ta < tb, order < 0) if strict == "<" else (ta > tb, order > 0)
-        out = F.when(~kinds, False).when(ka == "d", number).when(ka == "s", text).otherwise(False)
-        if op.endswith("="):
-            out = out | equal
+        ka, kb = (F.lit(k) if isinstance(k, str) else k for k in (ka, kb))
+        out = F.when(ka == kb, same).otherwise(op == "!=")
     return F.coalesce(out, F.lit(False))
 
 
@@ -138,12 +201,17 @@ def to_boolean(v: Value) -> tuple[Column, Column | None]:
         return v.column, None
     if v.kind != "resource":
         return F.lit(False), fail("Unexpected", f"Boolean, found {v.kind}")
-    kind, text, error = v.read or comparable_parts(v.column)
+    kind, text, error = comparable(v)
+    if isinstance(kind, str):
+        return (text == "true", error) if kind == "b" else (F.lit(False), unexpected("Boolean", v.column))
     wrong = F.when(kind != "b", unexpected("Boolean", v.column)).otherwise(error)
     return (kind == "b") & (text == "true"), wrong
 
 
 def to_any_literal(v: Value) -> tuple[Column, Column | None]:
+    if v.kind == "resource" and v.constant is not None and v.any_read is None:
+        what, lex, *_ = terms.split(v.constant)
+        return (F.lit(lex), None) if what == "literal" else (F.lit(None).cast("string"), unexpected("AnyLiteral", v.column))
     if v.kind == "resource":
         return v.any_read or any_literal_parts(v.column)
     return (F.when(v.column, "true").otherwise("false") if v.kind == "boolean" else v.column), None
@@ -184,7 +252,7 @@ def _connective(args: list[Value], stop: bool) -> Value:
 
 
 def _chain(op: str, args: list[Value]) -> Value:
-    parts = [_comparable(a) for a in args]
+    parts = [comparable(a) for a in args]
     if not parts:
         return Value("boolean", F.lit(True))
     value, error = F.lit(True), None
@@ -224,8 +292,6 @@ def _matches(args: list[Value]) -> Value:
 
 def _match_udf():
     """Patterns that come from the data: 1, 0, or -1 for one that can't be compiled, which Java would throw at."""
-    import pandas as pd
-
     @F.pandas_udf("int")
     def match(pattern: pd.Series, text: pd.Series) -> pd.Series:
         import re

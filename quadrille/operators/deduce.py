@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille import terms
-from quadrille.functions.expressions import ERROR, Value, any_literal_parts, comparable_parts, compile_expr, fail, first_error, instantiate, no_error, to_boolean
+from quadrille.functions.expressions import ERROR, Value, any_literal_parts, comparable, comparable_parts, compile_expr, fail, first_error, instantiate, no_error, parse_variables
 from quadrille.model import Eq, Reason, Rule, Signed, Triple, True_, Validation, variables_of
 from quadrille.plans.match import substitutions
 from quadrille.sources.graph import TRIPLE, Graph
@@ -139,25 +139,12 @@ def deduce(rule: Rule, graph: Graph, seed: DataFrame | dict[int, str] | None = N
     identity = F.concat_ws("|", F.lit(namespace), F.lit(str(rule_id)), mark, occurrence.cast("string"))
 
     wanted = {v for s in rule.conclusion.statements for v in _in_calls(s.value)} & set(bound)
-    readings = {}
-    if graph.interpretation is not None:
-        table = _readings(graph)
-        for k in sorted(wanted):
-            names = {c: f"_{c}{k}" for c in ("kind", "value", "error", "lexical", "any_error")}
-            own = table.select(F.col("resource").alias(f"v{k}"), *(F.col(c).alias(n) for c, n in names.items()))
-            df = df.join(own, f"v{k}", "left")
-            readings[k] = names
+    df, parsed = parse_variables(df, wanted, None if graph.interpretation is None else _readings(graph))
 
     def variable(k: int) -> Value:
         if k >= rule.variables:
             return Value("resource", F.concat(F.lit("_:f"), F.sha2(F.concat_ws("|", F.lit(str(k - rule.variables)), identity), 256)))
-        if k not in readings:
-            return Value("resource", F.col(f"v{k}"))
-        n, (kind, value, error), (lex, wrong) = readings[k], comparable_parts(F.col(f"v{k}")), any_literal_parts(F.col(f"v{k}"))
-        there = F.col(n["kind"]).isNotNull()
-        read = tuple(F.when(there, F.col(n[c])).otherwise(x) for c, x in (("kind", kind), ("value", value), ("error", error)))
-        any_read = tuple(F.when(there, F.col(n[c])).otherwise(x) for c, x in (("lexical", lex), ("any_error", wrong)))
-        return Value("resource", F.col(f"v{k}"), read=read, any_read=any_read)
+        return parsed(k)
 
     structs = [_statement(k, s, variable) for k, s in enumerate(rule.conclusion.statements)]
     if not structs:
@@ -187,11 +174,12 @@ def _statement(index: int, signed: Signed, variable) -> Column:
     if isinstance(st, True_) and values[0].kind == "resource":
         # an ill-formed boolean is an error; anything else that isn't one is a violation
         v = values[0]
-        read = v.read or comparable_parts(v.column)
-        error = first_error(error, F.when(read[0] == "b", read[2]))
-        if v.read:
-            truth, _ = to_boolean(v)
-            cols[0] = F.when(read[0] == "b", F.when(truth, terms.literal("true", terms.BOOLEAN)).otherwise(terms.literal("false", terms.BOOLEAN))).otherwise(v.column)
+        held, text, bad = comparable(v)
+        if isinstance(held, str):
+            error = first_error(error, bad if held == "b" else None)
+        else:
+            error = first_error(error, F.when(held == "b", bad))
+            cols[0] = F.when(held == "b", F.when(text == "true", terms.literal("true", terms.BOOLEAN)).otherwise(terms.literal("false", terms.BOOLEAN))).otherwise(v.column)
     return F.struct(
         F.lit(index).alias("stmt_idx"), F.lit(signed.positive).alias("positive"), F.lit(kind).alias("kind"),
         *(c.alias(n) for c, n in zip(cols, "spo", strict=True)), (no_error() if error is None else error).alias("error"),

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadrille import Call, Conclusion, EvaluationError, Graph, Hypothesis, Lit, Pattern, Res, Rule, RuleError, Signed, System, Triple, Var, negative, parse_rule, positive, terms
-from quadrille.functions.expressions import Value, compile_expr, register_function
+from quadrille.functions.expressions import Value, compile_expr, parse_variables, register_function
 
 EX = "https://example.org/"
 XSD = terms.XSD
@@ -149,9 +149,10 @@ VALUES = {
 
 def evaluate(spark, exprs, columns=None):
     row = spark.range(1) if columns is None else spark.createDataFrame([tuple(columns)], ", ".join(f"v{k} string" for k in range(len(columns))))
+    row, variable = parse_variables(row, range(len(columns or ())))
     out = []
     for k, e in enumerate(exprs):
-        v = compile_expr(e, lambda i: Value("resource", F.col(f"v{i}")))
+        v = compile_expr(e, variable)
         out += [v.column.alias(f"r{k}"), (F.lit(None).cast("string") if v.error is None else v.error["code"]).alias(f"e{k}")]
     r = row.select(*out).collect()[0]
     return [r[f"e{k}"] or r[f"r{k}"] for k in range(len(exprs))]
