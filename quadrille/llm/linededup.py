@@ -22,11 +22,24 @@ THRESHOLD = 0.8
 MIN_WORDS = 3
 #: Entries of the table of token counts.
 COUNTS = 1 << 16
+#: Longs of the bitmap that tells which documents need not be shuffled.
+MARKS = 1 << 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _plain(text: Column) -> Column:
+    """``text`` with A-Z in lower case and white space other than line ends as spaces.
+
+    lower() is many times faster than translate() and the same where no other capital letter occurs.
+    """
+    low = F.when(text.rlike(r"[\p{IsUppercase}\p{Lt}&&[^\x00-\x7F]]"), F.translate(text, _UPPER, _LOWER)).otherwise(F.lower(text))
+    for space in "\t\x0b\x0c\r":
+        low = F.replace(low, F.lit(space), F.lit(" "))
+    return low
+
+
 def _words(line: Column) -> Column:
-    return F.filter(F.split(F.translate(line, _UPPER, _LOWER), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.array_remove(F.split(line, " "), "")
 
 
 def _tokens(lines: DataFrame) -> DataFrame:
@@ -36,11 +49,25 @@ def _tokens(lines: DataFrame) -> DataFrame:
     """
     rest = [c for c in lines.columns if c != "words"]
     hashed = lines.select(*rest, F.transform("words", lambda w: F.xxhash64(w)).alias("_h"))
-    last = F.greatest(F.size("_h") - F.lit(SHINGLE), F.lit(0))
-    shingles = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*(F.get(F.col("_h"), i + k) for k in range(SHINGLE))))
+    count = F.greatest(F.size("_h") - F.lit(SHINGLE - 1), F.lit(1))
+    shingles = F.transform(F.arrays_zip(*(F.slice("_h", 1 + k, count) for k in range(SHINGLE))), lambda x: F.xxhash64(x))
     return hashed.select(*rest, F.array_distinct(shingles).alias("tokens"))
 
 
+def _marks(rows: DataFrame) -> Column:
+    """Whether a row key may be among those of ``rows``: a bitmap of fixed size, one literal, with no false negatives."""
+    at = F.pmod("row", F.lit(MARKS * 64))
+    bits = rows.select(at.alias("b")).distinct().groupBy(F.expr("b div 64").cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(b, 64) AS int)))").alias("m"))
+    words = ["0"] * MARKS
+    for w, m in bits.collect():  # MARKS rows at most
+        words[w] = str(m)
+    table = F.split(F.lit(",".join(words)), ",").cast("array<long>")
+    place = F.pmod(_row_key(), F.lit(MARKS * 64))
+    word = F.get(table, F.floor(place / 64).cast("int"))
+    bit = F.call_function("shiftrightunsigned", word, F.pmod(place, F.lit(64)).cast("int"))
+    return bit.bitwiseAND(F.lit(1).cast("long")) == 1
+
+
 def _row_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
@@ -50,7 +77,7 @@ def _lines(docs: DataFrame) -> DataFrame:
 
     No filter here nor before tokens are made: Catalyst would push it down and so split each line again to test it.
     """
-    at = docs.select("doc_id", _row_key().alias("row"), F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
+    at = docs.select("doc_id", _row_key().alias("row"), F.posexplode_outer(F.split(_plain(F.col("text")), "\n")).alias("line_no", "line"))
     at = at.select("doc_id", "row", "line_no", _words(F.col("line")).alias("words"))
     return at.select("doc_id", "row", "line_no", F.when(F.size("words") >= MIN_WORDS, F.col("words")).alias("words"))
 
@@ -68,7 +95,7 @@ def _order() -> Column:
 
 
 def _bucket(token: Column) -> Column:
-    return F.pmod(token, F.lit(COUNTS)).cast("int")
+    return token.bitwiseAND(F.lit(COUNTS - 1).cast("long")).cast("int")
 
 
 def _needed(x: Column, y: Column, t: float) -> Column:
@@ -90,17 +117,22 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rarity = F.split(F.lit(",".join(classes)), ",").cast("array<int>")
 
     n = F.size("tokens")
-    ranked = F.sort_array(F.transform("tokens", lambda t: F.shiftleft(F.get(rarity, _bucket(t)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(t, 8))))
+    # the least bits of a hash choose its entry; the others go below the class
+    ranked = F.sort_array(F.transform("tokens", lambda t: F.coalesce(F.shiftleft(F.get(rarity, _bucket(t)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(t, 8)), F.lit(0).cast("long"))))
     prefix = F.slice("ranked", 1, (F.col("n") - F.ceil(F.col("n") * threshold - 1e-6) + 1).cast("int"))
-    lines = _tokens(_lines(docs).select("doc_id", _line_id(F.col("words")).alias("line"), "words"))
+    lines = _lines(docs)
+    lines = _tokens(lines.select("doc_id", _short(_line_id(F.col("words"))).alias("line"), "words"))
     lines = lines.select("doc_id", "line", n.alias("n"), ranked.alias("ranked")).select("doc_id", "line", "n", prefix.alias("prefix"))
-    # the earliest document of each distinct line; the prefix is the same for all copies
-    lines = lines.groupBy("line").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id")).alias("doc"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix")).where("n > 0")
-    posts = lines.select(_short(F.col("line")).alias("line"), "doc", "n", F.posexplode_outer("prefix").alias("at", "token"))
-    posts = posts.select("token", "line", F.col("doc.doc_id").alias("doc"), "n", "at")
+    posts = lines.select("line", "doc_id", "n", F.posexplode_outer("prefix").alias("at", "token"))
+    posts = posts.where("token IS NOT NULL").select("token", "line", F.col("doc_id").alias("doc"), "n", "at").repartition("token")
+    # most tokens are in one line only; the rest is little. One exchange serves both sides, and neither is sorted
+    shared = posts.groupBy("token").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a <> b").select("token")
+    posts = posts.join(shared.hint("shuffle_hash"), "token", "left_semi")
+    least = F.min(F.when(F.col("doc").isNotNull(), F.col("doc")))
+    posts = posts.groupBy("token", "line").agg(least.alias("doc"), F.min("n").alias("n"), F.min("at").alias("at"))
     by = Window.partitionBy("token")
     first = F.min(F.struct(F.col("doc").isNull().alias("x"), "doc", "line", "n", "at")).over(by)
-    posts = cut(posts.withColumn("many", F.count("*").over(by)).withColumn("first", first).where("many > 1"))
+    posts = cut(posts.withColumn("many", F.count("*").over(by)).withColumn("first", first))
 
     def passes(x: Column, x_at: Column, y: Column, y_at: Column) -> Column:
         most = F.least(x_at, y_at) + 1 + F.least(x - x_at, y - y_at) - 1
@@ -111,28 +143,36 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     light = _lines(docs).select("doc_id", "row", "line_no", _line_id(F.col("words")).alias("line")).where("line IS NOT NULL")
     firsts = cut(light.groupBy("line").agg(F.min(_order()).alias("first")).withColumn("short", _short(F.col("line"))))
-    later = cut(_later(pairs, firsts, docs, threshold))
+    candidates = _candidates(posts.select(F.col("line").alias("short")).distinct(), firsts, docs)
+    later = cut(_later(pairs, candidates, threshold))
     # lines that no first line settled, against every other line under their tokens
     done = later.select(_short(F.col("line")).alias("line")).distinct()
     open_ = posts.where("many > 2 AND line <> first.line").join(done, "line", "left_anti")
     x, y = open_.alias("x"), posts.alias("y")
     both = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.line") != F.col("y.line")) & (F.col("y.line") != F.col("x.first.line")) & passes(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at")))
     rest = both.select(F.least("x.line", "y.line").alias("a"), F.greatest("x.line", "y.line").alias("b")).distinct()
-    later = later.unionByName(cut(_later(rest, firsts, docs, threshold))).distinct()
+    later = later.unionByName(_later(rest, candidates, threshold)).distinct()
 
     decided = firsts.select("line", "first").join(later.select("line", F.lit(True).alias("near")), "line", "left")
     gone = light.join(decided, "line").where(F.col("near").isNotNull() | (_order() > F.col("first")))
     return gone.groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("gone"))
 
 
-def _later(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """The later line of each pair of lines (by short hash) whose tokens are similar enough."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("short")).distinct().join(firsts, "short")
-    wanted = wanted.groupBy(F.col("first.doc_id").alias("d"), F.col("first.row").alias("r")).agg(F.collect_list(F.struct("short", "line", "first")).alias("w"))
-    texts = docs.select("doc_id", _row_key().alias("row"), "text")
+def _candidates(wanted: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame:
+    """(short, line, first, tokens) of the lines of short hash ``wanted``, read from the text of their first place.
+
+    Of the texts only those that hold such a line are shuffled, as far as the bitmap can tell.
+    """
+    wanted = wanted.join(firsts, "short").groupBy(F.col("first.doc_id").alias("d"), F.col("first.row").alias("r")).agg(F.collect_list(F.struct("short", "line", "first")).alias("w"))
+    wanted = cut(wanted)
+    texts = docs.where(_marks(wanted.select(F.col("r").alias("row")))).select("doc_id", _row_key().alias("row"), "text")
     found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r"))).select("w", F.split("text", "\n").alias("lines"))
     found = found.select(F.explode(F.transform("w", lambda w: F.struct(w["short"].alias("short"), w["line"].alias("line"), w["first"].alias("first"), F.get(F.col("lines"), w["first"]["line_no"]).alias("words")))).alias("w"))
-    found = _tokens(found.select("w.short", "w.line", "w.first", _words(F.col("w.words")).alias("words")))
+    return cut(_tokens(found.select("w.short", "w.line", "w.first", _words(_plain(F.col("w.words"))).alias("words"))))
+
+
+def _later(pairs: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """The later line of each pair of lines (by short hash) whose tokens are similar enough."""
     a = found.select(F.col("short").alias("a"), F.col("line").alias("a_line"), F.col("first").alias("a_first"), F.col("tokens").alias("a_tokens"))
     b = found.select(F.col("short").alias("b"), F.col("line").alias("b_line"), F.col("first").alias("b_first"), F.col("tokens").alias("b_tokens"))
     both = pairs.join(a, "a").join(b, "b").withColumn("o", F.size(F.array_intersect("a_tokens", "b_tokens")))
@@ -151,10 +191,11 @@ def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     from pyspark.sql.types import StringType
 
     own = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast(StringType()).alias("text"))
-    gone = removed_lines(own, threshold).select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), F.col("gone").alias("_gone"))
-    joined = docs.withColumn("_row", _row_key()).join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r")), "left")
+    gone = cut(removed_lines(own, threshold).select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), F.col("gone").alias("_gone")))
+    touched = _marks(gone.select(F.col("_r").alias("row")))
+    joined = docs.where(touched).withColumn("_row", _row_key()).join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r")), "left")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("_gone", i)), "\n")
     joined = joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left))
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return joined.select(*docs.columns)
+    return joined.select(*docs.columns).unionByName(docs.where(~touched))
