@@ -124,13 +124,12 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     lines = _tokens(lines.select("doc_id", _short(_line_id(F.col("words"))).alias("line"), "words"))
     lines = lines.select("doc_id", "line", n.alias("n"), ranked.alias("ranked")).select("doc_id", "line", "n", prefix.alias("prefix"))
     posts = lines.select("line", "doc_id", "n", F.posexplode_outer("prefix").alias("at", "token"))
-    posts = posts.where("token IS NOT NULL").select("token", "line", F.col("doc_id").alias("doc"), "n", "at").repartition("token")
-    # most tokens are in one line only; the rest is little. One exchange serves both sides, and neither is sorted
-    shared = posts.groupBy("token").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a <> b").select("token")
-    posts = posts.join(shared.hint("shuffle_hash"), "token", "left_semi")
+    posts = posts.where("token IS NOT NULL").select("token", "line", F.col("doc_id").alias("doc"), "n", "at")
+    # most tokens are in one line only; what is left is little
+    by = Window.partitionBy("token")
+    posts = posts.withColumn("a", F.min("line").over(by)).withColumn("b", F.max("line").over(by)).where("a <> b")
     least = F.min(F.when(F.col("doc").isNotNull(), F.col("doc")))
     posts = posts.groupBy("token", "line").agg(least.alias("doc"), F.min("n").alias("n"), F.min("at").alias("at"))
-    by = Window.partitionBy("token")
     first = F.min(F.struct(F.col("doc").isNull().alias("x"), "doc", "line", "n", "at")).over(by)
     posts = cut(posts.withColumn("many", F.count("*").over(by)).withColumn("first", first))
 
