@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -43,7 +44,8 @@ def _clean() -> None:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read again: cuts lineage and is computed once.
 
-    The table outlives lost executors. It is deleted when the driver's process ends.
+    The table outlives lost executors. It is deleted when the driver's process ends. What was shuffled to make it isn't
+    needed any more; Spark deletes it once the driver collects garbage, which is asked for here.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
@@ -51,6 +53,8 @@ def cut(df: DataFrame) -> DataFrame:
         atexit.register(_clean)
     _written.append((spark, path))
     df.write.parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
