@@ -1,9 +1,11 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
-Every SEED-gram of a benchmark item is looked up in all documents; those that the corpus holds least often become the
-item's seeds (at least half of them, and all that are not more frequent). Seeds join passages of documents to items; each
-candidate passage is aligned with the item word by word, and the alignment's score as a share of a full match decides.
-So a copy with some words changed, added or left out is still found.
+An alignment of m equal words and e edits scores m - e / 2. To reach the threshold t of an item of n words, e is at most
+2 (m - t n); each edit parts at most one pair of neighbours, so at least (2 t - 1) n - 1 of the item's pairs of words stand
+in the passage, which is at most (3 - 2 t) n words long. The item's pairs without some of the commonest are its seeds;
+passages with fewer of them than must be left can't reach the threshold, and all others are aligned with the item word by
+word. The alignment's score as a share of a full match decides. So the result is that of aligning every item with every
+document. Where the bound leaves no pair (low thresholds, short items), single words are counted instead, at least t n.
 
 The benchmark is sent to the tasks in blocks of at most BLOCK_GRAMS n-grams; a larger one is worked off in several
 scans of the documents, so that what is broadcast stays bounded.
@@ -11,8 +13,7 @@ scans of the documents, so that what is broadcast stays bounded.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SEED = 4
 THRESHOLD = 0.6
 BLOCK_GRAMS = 1_000_000
 #: Items with fewer words are too common to tell a copy from chance; they match nothing.
@@ -35,29 +35,31 @@ def normal_words(text: str | None) -> list[str]:
 
 
 class Items:
-    """A block of benchmark items: the vocabulary, word sequences and seeds."""
+    """A block of benchmark items: the vocabulary, word sequences and seeds.
 
-    def __init__(self, items: list[tuple[int, list[str]]]):
+    A passage that reaches ``threshold`` holds at least need[k] seeds of item k within span[k] words.
+    """
+
+    def __init__(self, items: list[tuple[int, list[str]]], threshold: float):
         self.ids = [i for i, _ in items]
         self.vocabulary: dict[str, int] = {}
         self.words = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in t], np.int64) for _, t in items]
-        self.n = np.array([min(SEED, len(t)) for _, t in items])
-        self.hashes = [_gram_hash(w, n) if n else np.zeros(0, np.uint64) for w, n in zip(self.words, self.n.tolist(), strict=True)]
-        self.grams = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.hashes]))
-        self.sizes = sorted({int(n) for n in self.n if n})
-
-    def seeds(self, count: dict[int, int]) -> None:
-        """Keeps as seeds of each item the rarer half of its n-grams, ties included."""
-        rows: list[tuple[int, int, int]] = []
-        for k, h in enumerate(self.hashes):
-            c = np.array([count.get(x, 0) for x in h.tolist()])
-            if len(c):
-                most = np.sort(c)[(len(c) - 1) // 2]
-                rows += [(x, k, p) for p, x in enumerate(h.tolist()) if c[p] <= most]
-        rows.sort()
-        self.seed = np.array([x[0] for x in rows], np.uint64)
-        self.seed_item = np.array([x[1] for x in rows], np.int64)
-        self.seed_at = np.array([x[2] for x in rows], np.int64)
+        self.span = [math.floor((3 - 2 * threshold) * len(w) + 1e-9) + 1 for w in self.words]
+        pairs = [math.ceil((2 * threshold - 1) * len(w) - 1 - 1e-9) for w in self.words]
+        sizes = [2 if n > 0 else 1 for n in pairs]
+        must = [n if n > 0 else max(1, math.ceil(threshold * len(w) - 1e-9)) for n, w in zip(pairs, self.words, strict=True)]
+        hashes = [_gram_hash(w, n) for w, n in zip(self.words, sizes, strict=True)]
+        _, place, often = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+        often = np.split(often[place], np.cumsum([len(h) for h in hashes])[:-1])
+        # of n-grams of which m are left, any choice without c of them has m - c left
+        spare = [n // 2 for n in must]
+        kept = [np.argsort(c, kind="stable")[: len(c) - n] for c, n in zip(often, spare, strict=True)]
+        seed = np.concatenate([h[x] for h, x in zip(hashes, kept, strict=True)])
+        order = np.argsort(seed, kind="stable")
+        self.seed = seed[order]
+        self.seed_item = np.repeat(np.arange(len(items)), [len(x) for x in kept])[order]
+        self.need = np.array(must) - np.array(spare)
+        self.sizes = sorted(set(sizes))
 
     def encode(self, words: list[str]) -> np.ndarray:
         get = self.vocabulary.get
@@ -108,36 +110,40 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[float, int, int]:
 def match(words: list[str], items: Items, threshold: float) -> list[tuple[int, float, int, int]]:
     """(place of the item, score, start, end in words) for each item that a document holds, best passage each."""
     x = items.encode(words)
-    found: dict[int, list[int]] = {}
+    out = []
     for n in items.sizes:
         at = _present(x, n)
-        if not len(at):
-            continue
         h = _gram_hash(x, n)[at]
-        low, high = np.searchsorted(items.seed, h, "left"), np.searchsorted(items.seed, h, "right")
-        for p, a, b in zip(at[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
-            for s in range(a, b):
-                found.setdefault(int(items.seed_item[s]), []).append(p - int(items.seed_at[s]))
-    out = []
-    for k, begins in found.items():
-        size = len(items.words[k])
-        slack = size // 2 + 1
-        best = (0.0, 0, 0)
-        reach = -1
-        for begin in sorted(set(begins)):
-            if begin <= reach:
-                continue
-            a = max(0, begin - slack)
-            b = min(len(x), begin + size + 2 * slack)
-            reach = begin + slack  # seeds that begin up to there lie in the same passage
-            score, s, e = align(items.words[k], x[a:b])
-            if score / size > best[0]:
-                best = (score / size, a + s, a + e)
-        if best[0] >= threshold:
-            out.append((k, min(1.0, best[0]), best[1], best[2]))
+        low = np.searchsorted(items.seed, h, "left")
+        count = np.searchsorted(items.seed, h, "right") - low
+        ends = np.cumsum(count)
+        if not len(at) or not ends[-1]:
+            continue
+        item = items.seed_item[np.arange(ends[-1]) + np.repeat(low - ends + count, count)]
+        place = np.repeat(at, count)
+        enough = np.bincount(item, minlength=len(items.need)) >= items.need
+        place, item = place[enough[item]], item[enough[item]]
+        order = np.argsort(item, kind="stable")
+        place, item = place[order], item[order]
+        for p, k in zip(np.split(place, np.flatnonzero(np.diff(item)) + 1), np.unique(item).tolist(), strict=True) if len(item) else ():
+            out += _best(x, items, k, p, threshold)
     return out
 
 
+def _best(x: np.ndarray, items: Items, k: int, p: np.ndarray, threshold: float) -> list[tuple[int, float, int, int]]:
+    """The match of item ``k`` in ``x``, if any; ``p`` are the places of its seeds in order."""
+    size, span, more = len(items.words[k]), items.span[k], int(items.need[k]) - 1
+    best = (0.0, 0, 0)
+    begins = p[: len(p) - more][p[more:] - p[: len(p) - more] < span]
+    # what a dense passage is part of lies within span of its first seed; passages that overlap are aligned as one
+    for part in np.split(begins, np.flatnonzero(np.diff(begins) > 2 * span) + 1) if len(begins) else ():
+        a, b = max(0, int(part[0]) - span), int(part[-1]) + span + 1
+        score, s, e = align(items.words[k], x[a:b])
+        if score / size > best[0]:
+            best = (score / size, a + s, a + e)
+    return [(k, min(1.0, best[0]), best[1], best[2])] if best[0] >= threshold else []
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, score, start_word, end_word): items that whole documents hold, for each row of ``docs``.
 
@@ -147,48 +153,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     schema = "doc_id long, item_id long, score double, start_word long, end_word long"
     out = None
-    for block in _blocks(benchmark):
+    for block in _blocks(benchmark, threshold):
         part = _scan(docs, block, threshold, schema)
         out = part if out is None else out.unionByName(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[Items]:
+def _blocks(benchmark: DataFrame, threshold: float) -> Iterator[Items]:
     held, size = [], 0
     for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL").orderBy("item_id", "text").toLocalIterator():
         w = normal_words(r[1])
         if len(w) < MIN_WORDS:
             continue
         if held and size + len(w) > BLOCK_GRAMS:
-            yield Items(held)
+            yield Items(held, threshold)
             held, size = [], 0
         held.append((r[0], w))
         size += len(w)
     if held:
-        yield Items(held)
+        yield Items(held, threshold)
 
 
 def _scan(docs: DataFrame, block: Items, threshold: float, schema: str) -> DataFrame:
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(block)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = sent.value
-        total: Counter = Counter()
-        for b in batches:
-            for t in b.column(1):
-                x = items.encode(normal_words(t.as_py()))
-                for n in items.sizes:
-                    at = _present(x, n)
-                    if len(at):
-                        h = np.unique(_gram_hash(x, n)[at])
-                        total.update(h[np.isin(h, items.grams)].tolist())
-        keys = np.fromiter(total.keys(), np.uint64, len(total)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(list(total.values()), pa.int64())], ["gram", "n"])
-
-    counts = docs.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()  # BLOCK_GRAMS rows at most
-    block.seeds({r[0] & (2**64 - 1): r[1] for r in counts})
-    ready = spark.sparkContext.broadcast(block)
+    ready = docs.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = ready.value

@@ -110,6 +110,28 @@ def test_decontaminate(spark, make):
     assert decontam.contaminated(make([]), tests).count() == 0 and decontam.contaminated(make(rows), tests.limit(0)).count() == 0
 
 
+def test_decontaminate_spaced_edits(spark, make):
+    rng = np.random.default_rng(11)
+    words = [f"w{k}" for k in range(39)]
+    pad = lambda n: [f"w{k}" for k in rng.integers(0, 400, n)]
+    rows = []
+    for step in (4, 5, 6, 7):  # every step-th word changed, one added after it, or left out; lone copies and many of one kind
+        for kind in range(3):
+            for first in range(step):
+                at = lambda i: i % step == first  # noqa: B023, E731
+                copy = [y for i, w in enumerate(words) for y in ([w] if not at(i) else [["other"], [w, "other"], []][kind])]
+                rows.append((len(rows), " ".join(pad(20) + copy + pad(20))))
+    for share in (0.1, 0.15, 0.2, 0.25, 0.3, 0.4):
+        rows += [(len(rows) + k, " ".join(pad(9) + [w if rng.random() > share else "x" for w in words] + pad(900))) for k in range(25)]
+    rows += [(len(rows), " ".join(words))] * 2
+    items = [(1, " ".join(words)), (2, "a a b a a b a a b a a b"), (3, " ".join(pad(15)))]
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    for threshold in (0.6, 0.5, 0.8):
+        got = {(r.doc_id, r.item_id) for r in decontam.contaminated(make(rows), tests, threshold).collect()}
+        want = {(i, k) for i, t in rows for k in contaminated_by_alignment(t, items, threshold)}
+        assert got == want and len(want) > 40
+
+
 def test_filter_reads_back_all_languages():
     rng = np.random.default_rng(3)
     kept = {f"l{k}": rng.integers(0, 2**63, 2000, dtype=np.uint64) for k in range(5)}
