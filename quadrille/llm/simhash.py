@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.llm.shared import connected_components, cut
@@ -51,15 +51,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id long, fp long): the fingerprint of each row's whole text, as a signed long."""
+def fingerprints(docs: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id long, fp long): the fingerprint of each row's whole text, as a signed long; ``more`` longs are carried."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = np.fromiter((fingerprint(t.as_py()) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64)), *b.columns[2:]], ["doc_id", "fp", *b.schema.names[2:]])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *more)
+    return read.mapInArrow(run, ", ".join(["doc_id long, fp long", *(f"{c} long" for c in read.columns[2:])]))
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,6 +142,13 @@ def links(fps: DataFrame) -> DataFrame:
     return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_join_cells, "u long, v long")
 
 
+def _labelled(fps: DataFrame) -> DataFrame:
+    """(fp, low, label) for each distinct fingerprint: its least doc_id, and a label that its component shares."""
+    labels = connected_components(links(fps))
+    each = fps.groupBy("fp").agg(F.min("doc_id").alias("low")).join(labels.withColumnRenamed("node", "fp"), "fp", "left")
+    return cut(each.select("fp", "low", F.coalesce("label", "fp").alias("label")))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id, fp_long), a row for each row of ``docs``.
 
@@ -149,9 +157,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     table gives an empty result. Other columns are ignored.
     """
     fps = cut(fingerprints(docs))
-    labels = connected_components(links(fps))
-    each = fps.groupBy("fp").agg(F.min("doc_id").alias("low")).join(labels.withColumnRenamed("node", "fp"), "fp", "left")
-    each = cut(each.select("fp", "low", F.coalesce("label", "fp").alias("label")))
+    each = _labelled(fps)
     lowest = each.groupBy("label").agg(F.min("low").alias("component_id"))
     classes = each.join(lowest, "label").select("fp", "component_id")
     return fps.join(classes, "fp").select(
@@ -164,9 +170,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Of rows with that id, and of components of null ids only, the row with the least text hash stays.
     """
-    names = docs.columns
-    found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("_id"), F.col("fp_long").alias("_fp")
-    ).distinct()
-    kept = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["_id"]), "left_semi")
-    return kept.select(*names).dropDuplicates(["doc_id"])
+    text = F.xxhash64(F.col("text").cast("string"))
+    fps = cut(fingerprints(docs, text.alias("hash")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("x")
+    found = fps.groupBy("fp").agg(first).join(_labelled(fps), "fp").groupBy("label").agg(F.min("x").alias("x"))
+    found = found.select(F.col("x.doc_id").alias("_id"), F.col("x.hash").alias("_hash"))
+    id_, hash_ = docs["doc_id"].cast("long"), F.xxhash64(docs["text"].cast("string"))
+    kept = docs.join(found, id_.eqNullSafe(found["_id"]) & (hash_ == found["_hash"]), "left_semi")
+    # what is left more than once is the same id and text
+    return kept.withColumns({"_id": id_, "_hash": text}).dropDuplicates(["_id", "_hash"]).select(*docs.columns)

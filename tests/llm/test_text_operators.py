@@ -1,6 +1,7 @@
 """Operators on texts against brute-force versions."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -79,6 +80,17 @@ def test_keep_one(make, corpus):
     assert sorted(r.doc_id for r in kept) == sorted(components)
 
 
+def test_keep_one_tells_rows_apart(make):
+    rng = random.Random(8)
+    unlike = [" ".join(f"w{rng.randrange(900)}" for _ in range(60)) for _ in range(6)]
+    rows = [(None, unlike[0]), (None, unlike[1]), (None, unlike[1]), (None, unlike[2]), (4, unlike[3]), (4, unlike[4]), (4, unlike[4]), (None, unlike[4]), (9, unlike[3])]
+    rows += [(None, unlike[5]), (2, unlike[5]), (None, None), (None, "")]
+    got = simhash.keep_one(make(rows)).collect()
+    want = [(None, unlike[0]), (None, unlike[1]), (None, unlike[2]), (4, unlike[3]), (4, unlike[4]), (2, unlike[5])]
+    assert Counter((r.doc_id, r.text) for r in got if r.text) == Counter(want)
+    assert len(got) == len(want) + 1  # one of the texts without words
+
+
 def kept_lines(rows):
     """Brute force: all pairs of lines."""
     lines = []
