@@ -5,20 +5,20 @@ before slot floor((i - 1) / w) and must be done by slot ceil(i / w); each slot g
 deadline. As the weights add up to 1, every deadline is met, so at any time each source has had its share to within
 less than one block.
 
-Weights are whole multiples of 1 / SLOTS, so the schedule repeats after SLOTS slots, when every source is even with its
-share: one period, made on the driver from the weights alone, fixes the slot of any number of blocks. When a source
-is used up, a new phase begins with the weights of the rest in proportion. Every row is kept.
+Weights are exact fractions, never rounded, so this holds for the target weights however long the mix is. The driver
+makes the schedule from the weights and the numbers of blocks alone; its time and the table grow with the number of
+blocks. When a source is used up, a new phase begins with the weights of the rest in proportion. Every row is kept.
 """
 
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Slots of a period; weights are rounded to multiples of 1 / SLOTS, at least one (more slots if sources are many).
+#: Blocks of a source whose slots are one row of the schedule's table; without effect on the result.
 SLOTS = 1000
 BLOCK_ROWS = 16
 #: Without given weights, a source's weight goes as its number of rows to this power.
@@ -28,60 +28,57 @@ MAX_SOURCES = 5000
 _BUCKETS = 3  # hex digits of the shuffle key that number the parts a source is numbered in
 
 
-def quantise(weights: list[float], slots: int) -> list[int]:
-    """Whole numbers of slots that add up to ``slots``, by largest remainder, at least one each."""
-    total = sum(weights)
-    if not weights or total <= 0 or min(weights) < 0 or slots < len(weights):
-        raise ValueError("weights must be positive and no more than the slots")
-    exact = [w / total * slots for w in weights]
-    out = [max(1, int(x)) for x in exact]
-    order = sorted(range(len(out)), key=lambda k: (exact[k] - int(exact[k]), -k), reverse=True)
-    k = 0
-    while sum(out) < slots:
-        out[order[k % len(order)]] += 1
-        k += 1
-    while sum(out) > slots:
-        out[max(range(len(out)), key=lambda i: (out[i] - exact[i] if out[i] > 1 else float("-inf"), -i))] -= 1
-    return out
-
+def schedule(weights: list[Fraction], left: list[int], slots: int | None = None) -> list[list[int]]:
+    """For each source the slots of its blocks, earliest deadline first, until one has no blocks left or after ``slots``.
 
-def period(shares: list[int]) -> list[list[int]]:
-    """For each source the slots of its blocks within one period, earliest deadline first."""
-    slots = sum(shares)
-    release: list[list[tuple[int, int]]] = [[] for _ in range(slots)]
-    for s, k in enumerate(shares):
-        for i in range(k):
-            release[i * slots // k].append((-(-(i + 1) * slots // k), s))
-    ready: list[tuple[int, int]] = []
-    out: list[list[int]] = [[] for _ in shares]
-    for t in range(slots):
-        for x in release[t]:
-            heapq.heappush(ready, x)
+    ``weights`` add up to 1.
+    """
+    parts = [(w.numerator, w.denominator) for w in weights]
+    ready = [(-(-q // p), s) for s, (p, q) in enumerate(parts)]
+    heapq.heapify(ready)
+    later: list[tuple[int, int]] = []
+    out: list[list[int]] = [[] for _ in weights]
+    t = 0
+    while slots is None or t < slots:
+        while later and later[0][0] <= t:
+            s = heapq.heappop(later)[1]
+            p, q = parts[s]
+            heapq.heappush(ready, (-(-(len(out[s]) + 1) * q // p), s))
         deadline, s = heapq.heappop(ready)
         if t >= deadline:
             raise AssertionError("a deadline was missed")
         out[s].append(t)
+        t += 1
+        done = len(out[s])
+        if slots is None and done == left[s]:
+            break
+        p, q = parts[s]
+        heapq.heappush(later, (done * q // p, s))
     return out
 
 
-def plan(blocks: dict[str | None, int], weights: dict[str | None, float], slots: int = SLOTS) -> list[tuple]:
-    """(source, first block, blocks, first slot, shares, slots of a period, slots of the period) for phases and sources."""
-    left = {s: n for s, n in blocks.items() if n}
-    done, start, out = dict.fromkeys(left, 0), 0, []
-    while left:
-        names = sorted(left, key=lambda s: (s is not None, s))
-        length = max(slots, len(names))
-        shares = quantise([weights[s] for s in names], length)
-        tables = period(shares)
-        ends = [(left[s] - 1) // k * length + t[(left[s] - 1) % k] + 1 for s, k, t in zip(names, shares, tables, strict=True)]
-        stop = min(ends)
-        for s, k, t in zip(names, shares, tables, strict=True):
-            n = min(left[s], stop // length * k + bisect_left(t, stop % length))
-            out.append((s, done[s], n, start, k, length, t))
-            done[s] += n
-            left[s] -= n
-        left = {s: n for s, n in left.items() if n}
-        start += stop
+def period(shares: list[int]) -> list[list[int]]:
+    """For each source the slots of its blocks within one period of sum(shares) slots."""
+    slots = sum(shares)
+    return schedule([Fraction(k, slots) for k in shares], shares, slots)
+
+
+def plan(blocks: dict[str | None, int], weights: dict[str | None, float]) -> dict[str | None, list[int]]:
+    """For each source the slots of its blocks in order, over all phases."""
+    if any(not weights[s] > 0 for s, n in blocks.items() if n):
+        raise ValueError("weights must be positive")
+    exact = {s: Fraction(weights[s]) for s, n in blocks.items() if n}
+    out: dict[str | None, list[int]] = {s: [] for s in exact}
+    start = 0
+    while exact:
+        names = sorted(exact, key=lambda s: (s is not None, s))
+        total = sum(exact.values())
+        made = schedule([exact[s] / total for s in names], [blocks[s] - len(out[s]) for s in names])
+        for s, slots in zip(names, made, strict=True):
+            out[s] += [start + t for t in slots]
+            if len(out[s]) == blocks[s]:
+                del exact[s]
+        start += sum(map(len, made))
     return out
 
 
@@ -104,23 +101,18 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_r
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     weights = weights or {s: n**TEMPERATURE for s, n in totals.items()}
-    phases: dict[str | None, list[tuple]] = {}
-    for s, *rest in plan({s: -(-n // block_rows) for s, n in totals.items()}, weights, slots):
-        phases.setdefault(s, []).append(tuple(rest))
-    step = "array<struct<first:long,n:long,slot:long,share:long,length:long,slots:array<int>>>"
-    table = spark.createDataFrame([(s, [p for p in ps if p[1]]) for s, ps in phases.items()], f"_s string, _steps {step}")
+    made = plan({s: -(-n // block_rows) for s, n in totals.items()}, weights)
+    parts = [(s, k // slots, x[k : k + slots]) for s, x in made.items() for k in range(0, len(x), slots)]
+    table = spark.createDataFrame(parts, "_ts string, _tp long, _slots array<long>")
     before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("_s").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)))
     before = before.select(F.col("_s").alias("_bs"), F.col("_p").alias("_bp"), F.coalesce("_before", F.lit(0)).alias("_before"))
     number = F.row_number().over(Window.partitionBy("_s", "_p").orderBy("_k", "doc_id", "_h"))
     rows = rows.withColumn("_i", number)
     rows = rows.join(before, F.col("_s").eqNullSafe(F.col("_bs")) & (F.col("_p") == F.col("_bp")))
     rows = rows.withColumn("_i", F.col("_i") + F.col("_before") - 1)
-    table = table.withColumnRenamed("_s", "_ts")
-    if sum(len(p[-1]) for ps in phases.values() for p in ps) <= 2_000_000:
-        table = F.broadcast(table)  # that many whole numbers at most
-    rows = rows.join(table, F.col("_s").eqNullSafe(F.col("_ts")))
-    rows = rows.withColumn("_b", F.expr(f"_i div {int(block_rows)}"))
-    rows = rows.withColumn("_step", F.filter("_steps", lambda p: (p["first"] <= F.col("_b")) & (F.col("_b") < p["first"] + p["n"]))[0])
-    place = F.col("_b") - F.col("_step.first")
-    slot = F.col("_step.slot") + F.floor(place / F.col("_step.share")) * F.col("_step.length") + F.get(F.col("_step.slots"), (place % F.col("_step.share")).cast("int"))
+    if sum(map(len, made.values())) <= 500_000:
+        table = F.broadcast(table)
+    rows = rows.withColumn("_b", F.expr(f"_i div {int(block_rows)}")).withColumn("_part", F.expr(f"_b div {int(slots)}"))
+    rows = rows.join(table, F.col("_s").eqNullSafe(F.col("_ts")) & (F.col("_part") == F.col("_tp")))
+    slot = F.get(F.col("_slots"), (F.col("_b") % int(slots)).cast("int"))
     return rows.select(*names, slot.cast("long").alias("mix_slot"), (F.col("_i") % block_rows).cast("long").alias("mix_row"))

@@ -76,6 +76,21 @@ def test_mix(make, corpus):
     assert mixing.mix(make([])).count() == 0
 
 
+def test_mix_follows_unrounded_weights():
+    roots = {"a": 10_000_000**0.5, "b": 3_000_000**0.5, "c": 700_000**0.5, None: 20**0.5}
+    for weights, slots in ((roots, 100_000), ({"a": 0.9999, "b": 0.0001}, 50_000), ({f"s{k}": 1 + k % 9 for k in range(1500)}, 30_000)):
+        total = sum(weights.values())
+        blocks = {s: round(slots * w / total) + 50 for s, w in weights.items()}
+        done = mixing.plan(blocks, weights)
+        assert sorted(t for x in done.values() for t in x) == list(range(sum(blocks.values())))
+        end = min(x[-1] for x in done.values())  # until then no source is used up
+        assert end > slots / 2
+        for s, x in done.items():
+            at = np.array([t for t in x if t <= end])
+            want, have = at * weights[s] / total, np.arange(len(at))
+            assert np.abs(have - want).max() < 1 + 1e-6 and np.abs(have + 1 - want - weights[s] / total).max() < 1 + 1e-6
+
+
 def contaminated_by_alignment(text, items, threshold=decontam.THRESHOLD):
     words = decontam.normal_words(text)
     known = {}
