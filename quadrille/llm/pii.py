@@ -3,7 +3,7 @@
 Base entities are e-mail and IP addresses, card and phone numbers. Around each, the words of a text (CONTEXT characters
 to either side) are its terms. Over the corpus, a term's occurrences next to an entity's value are held against all of its
 occurrences: a term that mostly comes with one value gives that value away, even where the value itself is blanked.
-Such a term (SUPPORT distinct contexts, a share of REVEALS, an information of BITS) is a span of its own.
+Such a term (SUPPORT distinct contexts, a share of REVEALS, a part TELLS of the value's information) is a span of its own.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ CONTEXT = 60
 SUPPORT = 3
 #: Least share of a term's occurrences in the corpus that come with the value.
 REVEALS = 0.5
-#: Least pointwise mutual information of term and value, in bits.
-BITS = 6.0
+#: Least pointwise mutual information of term and value, as a part of the value's own information: it can be reached for
+#: values of any frequency, as a term that occurs with the value only tells all of it.
+TELLS = 0.5
 #: From this share on, a term is removed rather than generalised.
 REMOVES = 0.9
 #: Candidate terms that are sent to all tasks; more are joined by a shuffle.
@@ -119,8 +120,9 @@ def revealing(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     values = contexts.groupBy("value").agg(F.count("*").alias("of"))
     scored = pairs.join(counts, "term").join(values, "value")
     share = F.least(F.col("n") / F.col("all"), F.lit(1.0))
-    scored = scored.select("value", "term", share.alias("share"), F.log2(share * total / F.col("of")).alias("bits"))
-    return scored.where((F.col("share") >= REVEALS) & (F.col("bits") >= BITS))
+    own = F.log2(total / F.col("of"))
+    scored = scored.select("value", "term", share.alias("share"), F.log2(share * total / F.col("of")).alias("bits"), own.alias("own"))
+    return scored.where((F.col("share") >= REVEALS) & (F.col("bits") >= TELLS * F.col("own"))).drop("own")
 
 
 def find(docs: DataFrame) -> DataFrame:
