@@ -3,7 +3,8 @@
 Base entities are e-mail and IP addresses, card and phone numbers. Around each, the words of a text (CONTEXT characters
 to either side) are its terms. Over the corpus, a term's occurrences next to an entity's value are held against all of its
 occurrences: a term that mostly comes with one value gives that value away, even where the value itself is blanked.
-Such a term (SUPPORT distinct contexts, a share of REVEALS, a part TELLS of the value's information) is a span of its own.
+Such a term (SUPPORT distinct contexts, a share of REVEALS, a part TELLS of the value's information) is a span of its own
+wherever it occurs, in all texts, beside the value or not.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quadrille.llm.shared import cut
+
 CONTEXT = 60
 #: Distinct contexts in which a term must come with a value.
 SUPPORT = 3
@@ -25,6 +28,8 @@ TELLS = 0.5
 REMOVES = 0.9
 #: Candidate terms that are sent to all tasks; more are joined by a shuffle.
 SEND = 50_000
+#: Code points of a text that are searched for terms at a time. Terms come from contexts, so none is longer than CONTEXT.
+PIECE = 2000
 
 KINDS = ("email", "ip", "card", "phone")
 # A match begins where its run of characters does, or where the last match ended (\G), and possessive runs never give back:
@@ -72,10 +77,6 @@ def _kept(kind: str) -> Callable[[Column], Column]:
     return lambda x: _passes(kind, x["v"])
 
 
-def _moved(by: str) -> Callable[[Column], Column]:
-    return lambda x: F.struct(F.lower(x["v"]).alias("term"), (x["s"] + F.col(by)).alias("s"), (x["e"] + F.col(by)).alias("e"))
-
-
 def _blanked(kind: str) -> Callable[[Column], Column]:
     return lambda x: F.struct(x["s"].alias("s"), F.negative(x["e"]).alias("m"), F.lit(f"<{kind}>").alias("w"))
 
@@ -87,22 +88,47 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 
 def _contexts(found: DataFrame) -> DataFrame:
-    """(doc_id, row, value, context, term, s, e): the terms around each entity of documents that have any."""
+    """(value, context, term): the terms around each entity."""
     ents = F.concat(*(F.col(k) for k in KINDS))
-    one = found.where(F.size(ents) > 0).select("doc_id", "row", "text", F.explode(ents).alias("x"))
+    one = found.where(F.size(ents) > 0).select("text", F.explode(ents).alias("x"))
     a = F.greatest(F.col("x.s") - F.lit(CONTEXT), F.lit(0))
     one = one.select(
-        "doc_id", "row", F.lower("x.v").alias("value"), a.alias("a"), F.col("x.e").alias("b"),
+        F.lower("x.v").alias("value"),
         F.substring(F.col("text"), a + 1, F.col("x.s") - a).alias("left"), F.substring(F.col("text"), F.col("x.e") + 1, F.lit(CONTEXT)).alias("right"),
     )
     # a word that the window may have cut is left out
     cut_left, cut_right = rf"(?<![\p{{L}}\p{{M}}])(?<!\A){_TERM}", rf"(?<![\p{{L}}\p{{M}}]){_TERM}(?!\z)(?![\p{{L}}\p{{M}}])"
-    terms = []
-    for side, at, pattern in (("left", "a", cut_left), ("right", "b", cut_right)):
-        places = _places(F.col(side), F.regexp_extract_all(F.col(side), F.lit(pattern), F.lit(0)), pattern)
-        terms.append(F.transform(places, _moved(at)))
-    one = one.select("doc_id", "row", "value", F.xxhash64("left", "right").alias("context"), F.explode(F.concat(*terms)).alias("t"))
-    return one.select("doc_id", "row", "value", "context", "t.term", "t.s", "t.e")
+    terms = F.concat(*(F.regexp_extract_all(F.col(side), F.lit(p), F.lit(0)) for side, p in (("left", cut_left), ("right", cut_right))))
+    return one.select("value", F.xxhash64("left", "right").alias("context"), F.explode(F.transform(terms, F.lower)).alias("term"))
+
+
+def _occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, row, s, e, share): all places of ``terms`` (term, share) in ``docs`` (doc_id, row, text).
+
+    A text is cut into pieces that begin one code point early and end late enough for a term; a word belongs to the piece
+    in which it begins.
+    """
+    starts = F.sequence(F.lit(0), F.length("text"), F.lit(PIECE))
+    pieces = docs.select("doc_id", "row", "text", F.explode(starts).alias("at"))
+    begin = F.greatest(F.col("at") - 1, F.lit(0))
+    pieces = pieces.select("doc_id", "row", "at", begin.alias("begin"), F.substring(F.col("text"), begin + 1, F.lit(PIECE + CONTEXT + 2)).alias("piece"))
+    words = _places(F.col("piece"), F.regexp_extract_all(F.col("piece"), F.lit(_TERM), F.lit(0)), _TERM)
+    words = pieces.select("doc_id", "row", "at", "begin", F.explode(words).alias("x"))
+    s = F.col("begin") + F.col("x.s")
+    words = words.select("doc_id", "row", "at", F.lower("x.v").alias("term"), s.alias("s"), (F.col("begin") + F.col("x.e")).alias("e"))
+    words = words.where((F.col("s") >= F.col("at")) & (F.col("s") < F.col("at") + PIECE))
+    if terms.limit(SEND + 1).count() <= SEND:
+        terms = F.broadcast(terms)
+    return words.join(terms, "term").select("doc_id", "row", "s", "e", "share")
+
+
+def _term_spans(own: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, row, s, e, share): the places of all revealing terms, in all of ``own``."""
+    contexts = cut(_contexts(found))
+    terms = cut(revealing(own, contexts).groupBy("term").agg(F.max("share").alias("share")))
+    if terms.isEmpty():
+        return own.sparkSession.createDataFrame([], "doc_id long, row long, s int, e int, share double")
+    return _occurrences(own.withColumn("row", F.xxhash64("doc_id", "text")), terms)
 
 
 def revealing(docs: DataFrame, contexts: DataFrame) -> DataFrame:
@@ -134,8 +160,7 @@ def find(docs: DataFrame) -> DataFrame:
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = base_spans(own).withColumn("row", F.xxhash64("doc_id", "text"))
-    contexts = _contexts(found)
-    terms = contexts.join(revealing(own, contexts), ["value", "term"])
+    terms = _term_spans(own, found)
     terms = terms.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("terms"))
     terms = terms.select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), "terms")
 
@@ -159,8 +184,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = base_spans(own).withColumn("row", F.xxhash64("doc_id", "text"))
-    contexts = _contexts(found)
-    terms = contexts.join(revealing(own, contexts), ["value", "term"])
+    terms = _term_spans(own, found)
     word = F.when(F.col("share") >= REMOVES, F.lit("")).otherwise(F.lit("<term>"))
     terms = terms.groupBy("doc_id", "row").agg(F.collect_set(F.struct("s", F.negative("e").alias("m"), word.alias("w"))).alias("terms"))
     terms = terms.select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), "terms")

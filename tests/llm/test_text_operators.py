@@ -200,6 +200,20 @@ def test_pii(make):
         assert [r[f"n_{k}"] for k in PATTERNS] == [sum(b.startswith(k) for b in base) for k in PATTERNS]
 
 
+def test_terms_reveal_everywhere(make):
+    fill = [f"q{chr(97 + k // 26)}{chr(97 + k % 26)}z" for k in range(300)]
+    rows = [(k, f"{fill[k]} Quillon wrote {fill[k + 50]} hot@mail.org") for k in range(9)]
+    rows += [(20 + k, f"{fill[k + 100]} wrote {fill[k + 150]} b{k}@mail.org {fill[k + 200]}") for k in range(40)]
+    long = " ".join(["wrote"] * 700)
+    lone = [(940, "No address, but QUILLON."), (941, f"é😀 {long} Quillon {long} xQuillon quillon"), (None, "Quillon"), (942, "a" * 1995 + " Quillon"), (943, "." * 1999 + "Quillon " + "b" * 5000 + " Quillon")]
+    for r in pii.find(make(rows + lone)).collect():
+        text = dict(rows + lone)[r.doc_id]
+        want = [f"term:{m.start()}:{m.end()}" for m in re.finditer(r"(?i)\bquillon\b", text)]
+        assert [x for x in r.spans.split(",") if x.startswith("term")] == want and r.n_terms == len(want), text[:40]
+    out = dict(map(tuple, pii.sanitise(make(rows + lone)).collect()))
+    assert out[940] != lone[0][1] and "Quillon" not in out[943] and "b5@mail.org" not in out[25]
+
+
 def test_hot_value_has_terms(spark):
     rows = [("hot@x.org", f"c{k}", "quillon") for k in range(6)] + [("hot@x.org", f"c{k}", "common") for k in range(6)] + [(f"v{k}", "c", "common") for k in range(9)]
     contexts = spark.createDataFrame(rows, "value string, context string, term string")
