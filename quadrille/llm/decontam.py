@@ -188,6 +188,22 @@ def _scan(docs: DataFrame, block: Items, threshold: float, schema: str) -> DataF
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark item; all columns stay. Rows are told apart by doc_id."""
-    hit = contaminated(docs, benchmark, threshold).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"].cast("long").eqNullSafe(hit["_hit"]), "left_anti")
+    """``docs`` without the rows that hold a benchmark item; all columns stay. Each row is judged by its own text."""
+    out = docs
+    for block in _blocks(benchmark, threshold):
+        out = _without(out, block, threshold)
+    return out
+
+
+def _without(docs: DataFrame, block: Items, threshold: float) -> DataFrame:
+    ready = docs.sparkSession.sparkContext.broadcast(block)
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = ready.value
+        for b in batches:
+            texts = b.column(len(names))
+            kept = [not match(normal_words(t.as_py()), items, threshold) for t in texts]
+            yield b.select(names).filter(pa.array(kept, pa.bool_()))
+
+    return docs.withColumn("_text", F.col("text").cast("string")).mapInArrow(run, docs.schema)

@@ -125,6 +125,14 @@ def test_decontaminate(spark, make):
     assert decontam.contaminated(make([]), tests).count() == 0 and decontam.contaminated(make(rows), tests.limit(0)).count() == 0
 
 
+def test_clean_judges_rows_by_their_text(spark, make):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows = [(None, item), (None, "clean without an id"), (3, f"x {item}"), (3, "clean of the same id"), (None, None)]
+    tests = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = Counter((r.doc_id, r.text) for r in decontam.clean(make(rows), tests).collect())
+    assert got == Counter(rows[k] for k in (1, 3, 4)) and decontam.clean(make(rows), tests).columns == make(rows).columns
+
+
 def test_decontaminate_spaced_edits(spark, make):
     rng = np.random.default_rng(11)
     words = [f"w{k}" for k in range(39)]
