@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quadrille import Graph, Rule, System, parse_rule, terms
 from quadrille.sources import triplify as t
+from quadrille.sources.graph import Branch, Slot
 
 EX = t.BASE
 _SINGULAR = {"orders": "order", "documents": "doc", "pages": "page"}
@@ -18,27 +19,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _column(df: DataFrame, kind: str, key: str, column: str, value: Column) -> DataFrame:
+def _column(df: DataFrame, kind: str, key: str, column: str, value: Slot | Column) -> Branch:
     return t.branch(df, t.node(kind, F.col(key)), t.name(column), value)
 
 
-def customers(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+def customers(spark: SparkSession, sf_dir: str) -> list[Branch]:
     df = table(spark, sf_dir, "customer")
     one = lambda c, v: _column(df, "customer", "c_custkey", c, v)
     return [one("c_nationkey", t.node("nation", F.col("c_nationkey"))), one("c_mktsegment", t.text(F.col("c_mktsegment"))), one("c_acctbal", t.money(F.col("c_acctbal")))]
 
 
-def orders(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+def orders(spark: SparkSession, sf_dir: str) -> list[Branch]:
     df = table(spark, sf_dir, "orders")
     one = lambda c, v: _column(df, "order", "o_orderkey", c, v)
     return [one("o_custkey", t.node("customer", F.col("o_custkey"))), one("o_orderpriority", t.text(F.col("o_orderpriority")))]
 
 
-def suppliers(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+def suppliers(spark: SparkSession, sf_dir: str) -> list[Branch]:
     return [_column(table(spark, sf_dir, "supplier"), "supplier", "s_suppkey", "s_nationkey", t.node("nation", F.col("s_nationkey")))]
 
 
-def places(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+def places(spark: SparkSession, sf_dir: str) -> list[Branch]:
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     return [
         _column(nation, "nation", "n_nationkey", "n_name", t.text(F.col("n_name"))),
@@ -47,32 +48,31 @@ def places(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     ]
 
 
-def items(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+def items(spark: SparkSession, sf_dir: str) -> list[Branch]:
     """Line items as blanks; orderkey and linenumber don't identify one, and a graph is a set."""
     df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
-    s = F.concat(F.lit("_:l"), F.concat_ws("_", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    s = t.blank("l", *(F.col(c) for c in df.columns))
     return [t.branch(df, s, t.name("l_orderkey"), t.node("order", F.col("l_orderkey"))), t.branch(df, s, t.name("l_suppkey"), t.node("supplier", F.col("l_suppkey")))]
 
 
-def sizes(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+def sizes(spark: SparkSession, sf_dir: str) -> list[Branch]:
     df = table(spark, sf_dir, "part")
-    decimal = terms.literal_column(F.col("p_size").cast("string"), terms.DECIMAL, plain=True)
-    return [_column(df, "part", "p_partkey", "p_size", t.integer(F.col("p_size"))), _column(df, "part", "p_partkey", "p_size_decimal", decimal)]
+    return [_column(df, "part", "p_partkey", "p_size", t.integer(F.col("p_size"))), _column(df, "part", "p_partkey", "p_size_decimal", t.whole_decimal(F.col("p_size")))]
 
 
-def labels(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+def labels(spark: SparkSession, sf_dir: str) -> list[Branch]:
     df = table(spark, sf_dir, "labels")
     out = [_column(df, "doc", "doc_id", c, t.boolean(F.col(c) == 1)) for c in ("quality", "toxic")]
-    kind = t.branch(df, t.node("doc", F.col("doc_id")), terms.RDF_TYPE, F.lit(t.name("Labelled")))
-    signed = t.branch(df, t.node("doc", F.col("doc_id")), t.name("isToxic"), F.lit(terms.literal("true", terms.BOOLEAN)), positive=F.col("toxic") == 1)
+    kind = t.branch(df, t.node("doc", F.col("doc_id")), terms.RDF_TYPE, t.name("Labelled"))
+    signed = t.branch(df, t.node("doc", F.col("doc_id")), t.name("isToxic"), terms.literal("true", terms.BOOLEAN), positive=F.col("toxic") == 1)
     return [*out, kind, signed]
 
 
-def documents(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    return [t.branch(table(spark, sf_dir, "documents").select("doc_id"), t.node("doc", F.col("doc_id")), terms.RDF_TYPE, F.lit(t.name("Document")))]
+def documents(spark: SparkSession, sf_dir: str) -> list[Branch]:
+    return [t.branch(table(spark, sf_dir, "documents").select("doc_id"), t.node("doc", F.col("doc_id")), terms.RDF_TYPE, t.name("Document"))]
 
 
-def graph(*parts: list[DataFrame], one_graph: bool = True) -> Graph:
+def graph(*parts: list[Branch], one_graph: bool = True) -> Graph:
     return Graph.union_of([x for p in parts for x in p], one_graph)
 
 
@@ -167,7 +167,7 @@ def join_cyclic(spark, d):
 def seeded_incremental(spark, d):
     g = graph(orders(spark, d), customers(spark, d))
     few = table(spark, d, "orders").where("o_orderkey < 100")
-    delta = _column(few, "order", "o_orderkey", "o_custkey", t.node("customer", F.col("o_custkey")))
+    delta = _column(few, "order", "o_orderkey", "o_custkey", t.node("customer", F.col("o_custkey"))).quads()
     out = System([rule("for ?o, ?c, ?g { ?o ex:o_custkey ?c . ?c ex:c_mktsegment ?g . } => { ?o ex:segment ?g . }")]).deduce_from(g, delta).df
     return out.select(_key("s", "order").alias("o_orderkey"), terms.lexical(F.col("o")).alias("c_mktsegment"))
 
@@ -185,7 +185,7 @@ def deduce_computed_boolean(spark, d):
 
 
 def materialize_union(spark, d):
-    g = graph(orders(spark, d), [t.branch(table(spark, d, "customer"), t.node("customer", F.col("c_custkey")), terms.RDF_TYPE, F.lit(t.name("Customer")))])
+    g = graph(orders(spark, d), [t.branch(table(spark, d, "customer"), t.node("customer", F.col("c_custkey")), terms.RDF_TYPE, t.name("Customer"))])
     more = rule("for ?o, ?c { ?o ex:o_custkey ?c . } => { ?c rdf:type ex:Customer . }").deduce(g).insert_into(g)
     return more.quads.where(F.col("p") == terms.RDF_TYPE).agg(F.count("*").alias("n"))
 

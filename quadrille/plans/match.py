@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.model import Pattern, Res, Rule, Signed
-from quadrille.sources.graph import Graph
+from quadrille.sources.graph import Bound, Graph
 
 
 def order(patterns: list[Signed[Pattern]], bound: set[int]) -> list[Signed[Pattern]]:
@@ -26,24 +26,36 @@ def order(patterns: list[Signed[Pattern]], bound: set[int]) -> list[Signed[Patte
     return out
 
 
+def joined(a: Bound, b: Bound) -> Bound:
+    """All pairs that agree on the shared variables, compared by base columns where both sides make terms alike."""
+    shared = [k for k in a.encoders if k in b.encoders]
+    differ = [k for k in shared if a.encoders[k] != b.encoders[k]]
+    a, b = a.as_terms(*differ), b.as_terms(*differ)
+    keys = [c for k in shared for c in a.names(k)]
+    if keys:
+        return Bound(a.df.join(b.df, keys), b.encoders | a.encoders)
+    left, right = (x.df.drop("_one") if x.encoders else x.df for x in (a, b))
+    if "_one" in left.columns and "_one" in right.columns:
+        right = right.withColumnRenamed("_one", "_two")
+    df = left.crossJoin(right).drop("_two")
+    return Bound(df.drop("_one") if a.encoders or b.encoders else df, a.encoders | b.encoders)
+
+
+def bindings(rule: Rule, graph: Graph, seed: Bound | None = None, exclude: int | None = None) -> Bound:
+    """All matches of the rule's patterns (but number ``exclude``), in base columns. See substitutions."""
+    todo = [p for k, p in enumerate(rule.hypothesis.patterns) if k != exclude]
+    out = seed
+    for p in order(todo, set(seed.encoders) if seed is not None else set()):
+        found = graph.bindings(p)
+        out = found if out is None else joined(out, found)
+    return Bound(graph.spark.range(1).select(F.lit(1).alias("_one")), {}) if out is None else out
+
+
 def substitutions(rule: Rule, graph: Graph, seed: DataFrame | None = None, exclude: int | None = None) -> DataFrame:
     """All matches of the rule's patterns (but number ``exclude``), a column v<index> for each bound variable.
 
     Bag semantics: a triple in two graphs matches twice. ``seed`` holds initial bindings, columns v<index> without
-    nulls. Without patterns and seed there is one match, of no columns but the mark _one.
+    nulls. Without patterns and seed there is one match, of no columns but the mark _one. Only bodies whose patterns
+    share no variable make a cross join, as their meaning is one.
     """
-    todo = [p for k, p in enumerate(rule.hypothesis.patterns) if k != exclude]
-    df = seed
-    for p in order(todo, {int(c[1:]) for c in seed.columns if c[0] == "v"} if seed is not None else set()):
-        scan = graph.scan(p)
-        if df is None:
-            df = scan
-            continue
-        shared = [c for c in scan.columns if c in df.columns and c != "_one"]
-        if shared:
-            df = df.join(scan, shared)
-        else:
-            df = df.crossJoin(scan.drop("_one") if "_one" in df.columns and len(scan.columns) > 1 else scan.withColumnRenamed("_one", "_two")).drop("_two")
-    if df is None:
-        df = graph.spark.range(1).select(F.lit(1).alias("_one"))
-    return df
+    return bindings(rule, graph, None if seed is None else Bound.of_terms(seed), exclude).terms()
