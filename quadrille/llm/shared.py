@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
@@ -13,6 +12,9 @@ from pyspark.sql import functions as F
 #: Bytes of text that one block of rows holds on average, where an operator works on blocks.
 BLOCK_BYTES = 8 << 20
 
+#: Longs of the bitmap that tells which rows need not be shuffled.
+MARKS = 1 << 16
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -31,12 +33,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _clean() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, path)
         except Exception:  # the JVM may be gone at exit
             pass
 
@@ -44,18 +49,63 @@ def _clean() -> None:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read again: cuts lineage and is computed once.
 
-    The table outlives lost executors. It is deleted when the driver's process ends. What was shuffled to make it isn't
-    needed any more; Spark deletes it once the driver collects garbage, which is asked for here.
+    The table outlives lost executors. ``release`` deletes it, or else the end of the driver's process. What was shuffled
+    to make it isn't needed any more, so Spark is told to delete that as soon as the table is written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     if not _written:
         atexit.register(_clean)
     _written.append((spark, path))
-    df.write.parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_TIDY)
+    spark.conf.set(_TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_TIDY, before)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._cut_path = path
+    return made
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that ``cut`` made, once nothing that is still to run reads them."""
+    for df in tables:
+        _delete(df.sparkSession, df._cut_path)
+        _written.remove((df.sparkSession, df._cut_path))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores added as it takes to differ from the columns of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def table(rows: DataFrame, size: int) -> Column:
+    """An array<long> of ``size`` entries from ``rows`` (k: int, v: long); what isn't there is 0.
+
+    It is a subquery: worked out once for each query that uses it, and no part of what the plan says.
+    """
+    every = rows.sparkSession.range(size).select(F.col("id").cast("int").alias("k")).join(rows, "k", "left")
+    pairs = F.array_sort(F.collect_list(F.struct("k", F.coalesce("v", F.lit(0).cast("long")).alias("v"))))
+    return every.agg(F.transform(pairs, lambda x: x["v"]).alias("t")).scalar()
+
+
+def marks(keys: DataFrame, key: Column) -> Column:
+    """Whether ``key`` may be in the one column of ``keys``, longs: a bitmap of fixed size, without false negatives.
+
+    ``keys`` is read once for each query that uses it, so it should be a table.
+    """
+    at = F.pmod(keys.columns[0], F.lit(MARKS * 64))
+    bits = keys.select(at.alias("b")).distinct().groupBy(F.expr("b div 64").cast("int").alias("k")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(b, 64) AS int)))").alias("v"))
+    place = F.pmod(key, F.lit(MARKS * 64))
+    word = F.get(table(bits, MARKS), F.shiftright(place, 6).cast("int"))
+    bit = F.call_function("shiftrightunsigned", word, F.pmod(place, F.lit(64)).cast("int"))
+    return bit.bitwiseAND(F.lit(1).cast("long")) == 1
 
 
 def text_bytes(df: DataFrame, column: str = "text") -> int:
