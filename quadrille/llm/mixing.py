@@ -6,8 +6,8 @@ deadline. As the weights add up to 1, every deadline is met, so at any time each
 less than one block.
 
 Weights are exact fractions, never rounded, so this holds for the target weights however long the mix is. The driver
-makes the schedule from the weights and the numbers of blocks alone; its time and the table grow with the number of
-blocks. When a source is used up, a new phase begins with the weights of the rest in proportion. Every row is kept.
+makes the schedule from the weights and the numbers of blocks alone. Blocks have BLOCK_ROWS rows, or more where there
+would be over BLOCKS of them, so the schedule has a bounded size; sources are counted on the driver, one entry each. When a source is used up, a new phase begins with the weights of the rest in proportion. Every row is kept.
 """
 
 from __future__ import annotations
@@ -18,14 +18,17 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadrille.llm.shared import fresh
+
 #: Blocks of a source whose slots are one row of the schedule's table; without effect on the result.
 SLOTS = 1000
 BLOCK_ROWS = 16
+#: Blocks of the schedule at most, but for one more of each source: about a second of the driver's time for a million.
+BLOCKS = 1 << 20
+#: Rows of a part in which rows are numbered, on average.
+PART_ROWS = 50_000
 #: Without given weights, a source's weight goes as its number of rows to this power.
 TEMPERATURE = 0.5
-#: A mix names its sources; beyond this many, the column is not a source.
-MAX_SOURCES = 5000
-_BUCKETS = 3  # hex digits of the shuffle key that number the parts a source is numbered in
 
 
 def schedule(weights: list[Fraction], left: list[int], slots: int | None = None) -> list[list[int]]:
@@ -64,7 +67,11 @@ def period(shares: list[int]) -> list[list[int]]:
 
 
 def plan(blocks: dict[str | None, int], weights: dict[str | None, float]) -> dict[str | None, list[int]]:
-    """For each source the slots of its blocks in order, over all phases."""
+    """For each source the slots of its blocks in order, over all phases.
+
+    ``weights`` are taken as the exact values of their floats, in proportion. Of equal deadlines the one of the source
+    that is first by name (null before any) goes first.
+    """
     if any(not weights[s] > 0 for s, n in blocks.items() if n):
         raise ValueError("weights must be positive")
     exact = {s: Fraction(weights[s]) for s, n in blocks.items() if n}
@@ -82,37 +89,38 @@ def plan(blocks: dict[str | None, int], weights: dict[str | None, float]) -> dic
     return out
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, slots: int = SLOTS) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int | None = None, slots: int = SLOTS) -> DataFrame:
     """``docs`` with mix_slot and mix_row: rows ordered by both are the mix. Every row is kept once.
 
     ``weights`` must be positive and name every source (null is a source of its own); by default they go as the
-    number of rows to the power TEMPERATURE. Within a source, rows are in order of md5(doc_id), then doc_id and a hash
-    of the text; rows that repeat take places in a row. Columns with the names of the results are replaced. An empty
-    table stays empty.
+    number of rows to the power TEMPERATURE. ``block_rows`` follows from the number of rows if it isn't given. Within a
+    source, rows are in order of a hash of doc_id and text, then of both; rows that repeat take places in a row. Columns
+    with the names of the results are replaced, others may have any name. An empty table stays empty.
 
     The numbers within a source come from counts by (source, part), so a source of any size is numbered in parallel.
+    Parts are by the hash of doc_id and text: null or repeated ids alone don't gather in one.
     """
     spark = docs.sparkSession
-    names = [c for c in docs.columns if c not in ("mix_slot", "mix_row")]
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = docs.select(*names, F.col("source").cast("string").alias("_s"), F.substring(key, 1, _BUCKETS).alias("_p"), key.alias("_k"), F.xxhash64("text").alias("_h"))
-    counts = rows.groupBy("_s", "_p").agg(F.count("*").alias("_n"))
-    totals = {r[0]: r[1] for r in counts.groupBy("_s").agg(F.sum("_n")).limit(MAX_SOURCES + 1).collect()}
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    names = [c for c in docs.columns if c.lower() not in ("mix_slot", "mix_row")]
+    source, part, key, number, before_, slots_, ts, tp, bs, bp = fresh(docs, "_s", "_p", "_k", "_i", "_before", "_slots", "_ts", "_tp", "_bs", "_bp")
+    rows_all = docs.count()
+    parts_of = max(1, -(-rows_all // PART_ROWS))
+    size = int(block_rows or max(BLOCK_ROWS, -(-rows_all // BLOCKS)))
+    rows = docs.select(*names, F.col("source").cast("string").alias(source), F.xxhash64(F.col("doc_id"), F.col("text").cast("string")).alias(key))
+    # parts are ranges of the hash, so that the order by part and then by hash is that of the hash
+    rows = rows.withColumn(part, F.floor((F.col(key) / 2.0**64 + 0.5) * parts_of))
+    counts = rows.groupBy(source, part).agg(F.count("*").alias("n"))
+    totals = {r[0]: r[1] for r in counts.groupBy(source).agg(F.sum("n")).collect()}
     weights = weights or {s: n**TEMPERATURE for s, n in totals.items()}
-    made = plan({s: -(-n // block_rows) for s, n in totals.items()}, weights)
-    parts = [(s, k // slots, x[k : k + slots]) for s, x in made.items() for k in range(0, len(x), slots)]
-    table = spark.createDataFrame(parts, "_ts string, _tp long, _slots array<long>")
-    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("_s").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)))
-    before = before.select(F.col("_s").alias("_bs"), F.col("_p").alias("_bp"), F.coalesce("_before", F.lit(0)).alias("_before"))
-    number = F.row_number().over(Window.partitionBy("_s", "_p").orderBy("_k", "doc_id", "_h"))
-    rows = rows.withColumn("_i", number)
-    rows = rows.join(before, F.col("_s").eqNullSafe(F.col("_bs")) & (F.col("_p") == F.col("_bp")))
-    rows = rows.withColumn("_i", F.col("_i") + F.col("_before") - 1)
-    if sum(map(len, made.values())) <= 500_000:
-        table = F.broadcast(table)
-    rows = rows.withColumn("_b", F.expr(f"_i div {int(block_rows)}")).withColumn("_part", F.expr(f"_b div {int(slots)}"))
-    rows = rows.join(table, F.col("_s").eqNullSafe(F.col("_ts")) & (F.col("_part") == F.col("_tp")))
-    slot = F.get(F.col("_slots"), (F.col("_b") % int(slots)).cast("int"))
-    return rows.select(*names, slot.cast("long").alias("mix_slot"), (F.col("_i") % block_rows).cast("long").alias("mix_row"))
+    made = plan({s: -(-n // size) for s, n in totals.items()}, weights)
+    pieces = [(s, k // slots, x[k : k + slots]) for s, x in made.items() for k in range(0, len(x), slots)]
+    table = spark.createDataFrame(pieces, f"`{ts}` string, `{tp}` long, `{slots_}` array<long>")
+    before = counts.withColumn("b", F.sum("n").over(Window.partitionBy(source).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)))
+    before = before.select(F.col(source).alias(bs), F.col(part).alias(bp), F.coalesce("b", F.lit(0)).alias(before_))
+    rows = rows.withColumn(number, F.row_number().over(Window.partitionBy(source, part).orderBy(key, "doc_id", F.col("text").cast("string"))))
+    rows = rows.join(before, F.col(source).eqNullSafe(F.col(bs)) & (F.col(part) == F.col(bp)))
+    rows = rows.withColumn(number, F.col(number) + F.col(before_) - 1)
+    block = F.floor(F.col(number) / size)
+    # at most BLOCKS longs, and a block of each source
+    rows = rows.join(F.broadcast(table), F.col(source).eqNullSafe(F.col(ts)) & (F.floor(block / slots) == F.col(tp)))
+    return rows.select(*names, F.get(F.col(slots_), (block % slots).cast("int")).cast("long").alias("mix_slot"), (F.col(number) % size).cast("long").alias("mix_row"))
