@@ -36,6 +36,14 @@ class Template:
     concatenative: bool = False
 
 
+class DependsOnText(ValueError):
+    """What surrounds the text of turn ``turn`` depends on it, so its place in the output can't be told."""
+
+    def __init__(self, turn: int):
+        super().__init__(f"the surroundings of turn {turn} depend on its text")
+        self.turn = turn
+
+
 class RewritesHistory(ValueError):
     """The output for the first ``turn`` + 1 turns doesn't begin with that for the first ``turn``."""
 
@@ -84,7 +92,7 @@ def locate(turns: list[Turn], render: Callable[[list[Turn]], str]) -> tuple[str,
         tail = len(probe) - at - len(_MARK)
         end = len(now) - tail
         if at < len(before) or end < at or now[:at] != probe[:at] or now[end:] != probe[at + len(_MARK) :]:
-            raise ValueError(f"the surroundings of turn {k} depend on its text")
+            raise DependsOnText(k)
         spans.append((len(before), len(now), at, end))
         before = now
     return before, spans
@@ -106,6 +114,7 @@ class Formatter:
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
         self.n = self.n_loss = self.n_out = 0
         self.rewritten: int | None = None
+        self.depends: int | None = None
         self.output: list[str] = []
         self.spans: list[tuple[int, int]] = []
 
@@ -122,8 +131,9 @@ class Formatter:
         self.last = block[-1:]
         try:
             output, spans = locate(block, render)
-        except RewritesHistory as e:
-            self.rewritten = self.n + e.turn
+        except (RewritesHistory, DependsOnText) as e:
+            if self.rewritten is None and self.depends is None:
+                self.rewritten, self.depends = (self.n + e.turn if isinstance(e, kind) else None for kind in (RewritesHistory, DependsOnText))
             self.n += len(block)
             return
         for role, text in self.template.parse(output):
@@ -142,32 +152,32 @@ class Formatter:
 
     def finish(self) -> tuple:
         self._block()
-        if self.rewritten is not None:
-            out = (self.n, None, None, None, None, self.rewritten)
+        if self.rewritten is not None or self.depends is not None:
+            out = (self.n, None, None, None, None, self.rewritten, self.depends)
             return (*out, None, None) if self.keep else out
-        out = (self.n, self.turns.hexdigest(), self.n_loss, self.loss.hexdigest(), self.n_out, None)
+        out = (self.n, self.turns.hexdigest(), self.n_loss, self.loss.hexdigest(), self.n_out, None, None)
         return (*out, "".join(self.output), [{"start": a, "end": b} for a, b in self.spans]) if self.keep else out
 
 
 def format_chats(turns: DataFrame, template: Template = MARKED, loss_roles: frozenset[str] = frozenset({"assistant"}), with_output: bool = False) -> DataFrame:
     """A row for each conversation of ``turns`` (conv_id, turn, role, text), its rows in order of turn.
 
-    Columns: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, rewritten_at[, output,
+    Columns: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, rewritten_at, depends_at[, output,
     loss_spans]. Digests are of what is read back from the output. If the template rewrites history, rewritten_at is
-    the first such turn and the rest is null. Null roles and texts are empty; null turns come first; equal turns are
+    the first such turn; if it surrounds a text by what depends on the text, depends_at is; and the rest is null. Null roles and texts are empty; null turns come first; equal turns are
     ordered by role and text; rows that repeat are turns of their own; rows with a null conv_id are one
     conversation. Other columns are ignored. An empty table gives an empty result.
 
     Rows stream through partitions sorted by conversation. A conversation is one task's work, as its digest runs over
     its turns in order, but not more than BLOCK of its turns are held (without ``with_output``).
     """
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "rewritten_at", "output", "loss_spans"]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewritten_at long"
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "rewritten_at", "depends_at", "output", "loss_spans"]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewritten_at long, depends_at long"
     if with_output:
         schema += ", output string, loss_spans array<struct<start:long,end:long>>"
     else:
-        names, types = names[:7], types[:7]
+        names, types = names[:8], types[:8]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, chat = None, None

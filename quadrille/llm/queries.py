@@ -21,7 +21,7 @@ CONTROL = "\\### Assistant: </turn> ok"
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", CONTROL), (-7, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
-    return chat.format_chats(turns.unionByName(extra)).drop("rewritten_at")
+    return chat.format_chats(turns.unionByName(extra)).drop("rewritten_at", "depends_at")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.fingerprints(_read(spark, sf_dir, "documents"))
+    return minhash.fingerprints(_read(spark, sf_dir, "documents"), classes=True)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
