@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadrille.llm.shared import fresh
+
 THRESHOLD = 0.6
 BLOCK_GRAMS = 1_000_000
-#: Items with fewer words are too common to tell a copy from chance; they match nothing.
-MIN_WORDS = 8
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 _STRIP = ".,;:!?\"'()[]{}*_«»“”‘’…-"
 
@@ -147,8 +147,10 @@ def _best(x: np.ndarray, items: Items, k: int, p: np.ndarray, threshold: float)
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, score, start_word, end_word): items that whole documents hold, for each row of ``docs``.
 
-    score is the alignment's score as a share of a full match of the item (to 1). Items of fewer than MIN_WORDS words,
-    and null texts on either side, match nothing. Null ids are carried. Repeated rows each give their matches. Other columns are ignored.
+    score is the alignment's score as a share of a full match of the item (to 1). Of passages that score the same the one
+    that ends first counts. Items without words and null texts on either side match nothing; an item of one or two words
+    is found wherever they are, so it is for the caller to leave out what is too short to tell a copy from chance. Null
+    ids are carried. Repeated rows each give their matches. Other columns are ignored. An empty table gives none.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     schema = "doc_id long, item_id long, score double, start_word long, end_word long"
@@ -163,7 +165,7 @@ def _blocks(benchmark: DataFrame, threshold: float) -> Iterator[Items]:
     held, size = [], 0
     for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL").orderBy("item_id", "text").toLocalIterator():
         w = normal_words(r[1])
-        if len(w) < MIN_WORDS:
+        if not w:
             continue
         if held and size + len(w) > BLOCK_GRAMS:
             yield Items(held, threshold)
@@ -188,7 +190,10 @@ def _scan(docs: DataFrame, block: Items, threshold: float, schema: str) -> DataF
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark item; all columns stay. Each row is judged by its own text."""
+    """``docs`` without the rows that hold a benchmark item; all columns stay. Each row is judged by its own text.
+
+    Rows with a null text, null ids and repeated ids are judged like any other; rows that repeat share their fate.
+    """
     out = docs
     for block in _blocks(benchmark, threshold):
         out = _without(out, block, threshold)
@@ -198,6 +203,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
 def _without(docs: DataFrame, block: Items, threshold: float) -> DataFrame:
     ready = docs.sparkSession.sparkContext.broadcast(block)
     names = docs.columns
+    (text,) = fresh(docs, "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = ready.value
@@ -206,4 +212,4 @@ def _without(docs: DataFrame, block: Items, threshold: float) -> DataFrame:
             kept = [not match(normal_words(t.as_py()), items, threshold) for t in texts]
             yield b.select(names).filter(pa.array(kept, pa.bool_()))
 
-    return docs.withColumn("_text", F.col("text").cast("string")).mapInArrow(run, docs.schema)
+    return docs.withColumn(text, F.col("text").cast("string")).mapInArrow(run, docs.schema)
