@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.shared import connected_components, cut
+from quadrille.llm.shared import connected_components, cut, fresh
 
 #: Bits that linked fingerprints may differ in; the grid is built for this value.
 MAX_BITS = 3
@@ -168,14 +168,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each near-duplicate component: that of the least doc_id.
 
-    Of rows with that id, and of components of null ids only, the row with the least text hash stays.
+    Of rows with that id, and of components of null ids only, the row with the least text hash stays. Of rows that
+    repeat one stays. The columns are those of ``docs``, whatever their names. An empty table stays empty.
     """
+    i, h, i2, h2 = fresh(docs, "_id", "_hash", "_own_id", "_own_hash")
     text = F.xxhash64(F.col("text").cast("string"))
     fps = cut(fingerprints(docs, text.alias("hash")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("x")
     found = fps.groupBy("fp").agg(first).join(_labelled(fps), "fp").groupBy("label").agg(F.min("x").alias("x"))
-    found = found.select(F.col("x.doc_id").alias("_id"), F.col("x.hash").alias("_hash"))
-    id_, hash_ = docs["doc_id"].cast("long"), F.xxhash64(docs["text"].cast("string"))
-    kept = docs.join(found, id_.eqNullSafe(found["_id"]) & (hash_ == found["_hash"]), "left_semi")
+    found = found.select(F.col("x.doc_id").alias(i), F.col("x.hash").alias(h))
+    keyed = docs.withColumns({i2: F.col("doc_id").cast("long"), h2: text})
+    kept = keyed.join(found, F.col(i2).eqNullSafe(F.col(i)) & (F.col(h2) == F.col(h)), "left_semi")
     # what is left more than once is the same id and text
-    return kept.withColumns({"_id": id_, "_hash": text}).dropDuplicates(["_id", "_hash"]).select(*docs.columns)
+    return kept.dropDuplicates([i2, h2]).select(*docs.columns)
