@@ -187,7 +187,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -> Dat
         found = list(_Block(pdf["doc_id"], pdf["text"], window, shards).sketches())
         return pd.DataFrame({"block": pdf["block"].iloc[0], "shard": [k for k, _ in found], "cells": [_pack(c) for _, c in found]})
 
-    estimates = dealt.groupBy("block").applyInPandas(first, "block int, shard int, cells binary").groupBy("shard").applyInPandas(_estimate, answer)
+    estimates = dealt.groupBy("block").applyInPandas(first, "block int, shard int, cells binary").repartition(shards, "shard").groupBy("shard").applyInPandas(_estimate, answer)
 
     def second(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         names = ["block", "shard", "h1", "h2", "ids"]
@@ -198,7 +198,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -> Dat
         rows = [(left["block"].iloc[0], k, h1.tobytes(), h2.tobytes(), _runs(ids)) for k, _, h1, h2, ids in block.exact(flags)]
         return pd.DataFrame(rows, columns=names)
 
-    repeated = dealt.groupBy("block").cogroup(estimates.groupBy("block")).applyInPandas(second, "block int, shard int, h1 binary, h2 binary, ids binary").groupBy("shard").applyInPandas(_earliest, answer)
+    repeated = dealt.groupBy("block").cogroup(estimates.groupBy("block")).applyInPandas(second, "block int, shard int, h1 binary, h2 binary, ids binary").repartition(shards, "shard").groupBy("shard").applyInPandas(_earliest, answer)
 
     def third(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         block = _Block(left["doc_id"], left["text"], window, shards)
