@@ -1,10 +1,15 @@
 """Personal data by information-theoretic sanitisation, in DataFrame functions only.
 
 Base entities are e-mail and IP addresses, card and phone numbers. Around each, the words of a text (CONTEXT characters
-to either side) are its terms. Over the corpus, a term's occurrences next to an entity's value are held against all of its
-occurrences: a term that mostly comes with one value gives that value away, even where the value itself is blanked.
-Such a term (SUPPORT distinct contexts, a share of REVEALS, a part TELLS of the value's information) is a span of its own
-wherever it occurs, in all texts, beside the value or not.
+to either side) are its terms. What a term can give away is the entity's value, its class (the domain, network, issuer
+or area that it belongs to) or its kind. Over the corpus, a term's occurrences next to any of these are held against all
+of its occurrences: a term that mostly comes with one of them gives it away, even where the entity itself is blanked.
+Such a term (SUPPORT distinct contexts, a share of REVEALS, a part TELLS of the information) is a span of its own
+wherever it occurs, in all texts, beside the entity or not.
+
+Texts are searched for entities once; what is found and its surroundings are written, and the rest works on that. The
+words of all texts are counted, and looked through for terms, in a scan each; only texts that hold a term are searched
+for its places.
 """
 
 from __future__ import annotations
@@ -14,19 +19,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.shared import cut
+from quadrille.llm.shared import cut, release
 
 CONTEXT = 60
-#: Distinct contexts in which a term must come with a value.
-SUPPORT = 3
-#: Least share of a term's occurrences in the corpus that come with the value.
+#: Distinct contexts in which a term must come with what it reveals. That two texts pair a word that is rare with the
+#: same value isn't chance; with a class or a kind, of which there are few, it may be.
+SUPPORT = {"value": 2, "class": 3, "kind": 3}
+#: Least share of a term's occurrences in the corpus that come with what it reveals.
 REVEALS = 0.5
-#: Least pointwise mutual information of term and value, as a part of the value's own information: it can be reached for
+#: Least pointwise mutual information of the two, as a part of the latter's own information: it can be reached for
 #: values of any frequency, as a term that occurs with the value only tells all of it.
 TELLS = 0.5
 #: From this share on, a term is removed rather than generalised.
 REMOVES = 0.9
-#: Candidate terms that are sent to all tasks; more are joined by a shuffle.
+#: Rows of terms, or of texts that hold one, that are sent to all tasks; more are joined by a shuffle.
 SEND = 50_000
 #: Code points of a text that are searched for terms at a time. Terms come from contexts, so none is longer than CONTEXT.
 PIECE = 2000
@@ -87,19 +93,57 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "text", *(F.filter(_places(F.col("text"), F.col(f"_{k}"), _PATTERN[k]), _kept(k)).alias(k) for k in KINDS))
 
 
-def _contexts(found: DataFrame) -> DataFrame:
-    """(value, context, term): the terms around each entity."""
-    ents = F.concat(*(F.col(k) for k in KINDS))
-    one = found.where(F.size(ents) > 0).select("text", F.explode(ents).alias("x"))
-    a = F.greatest(F.col("x.s") - F.lit(CONTEXT), F.lit(0))
-    one = one.select(
-        F.lower("x.v").alias("value"),
-        F.substring(F.col("text"), a + 1, F.col("x.s") - a).alias("left"), F.substring(F.col("text"), F.col("x.e") + 1, F.lit(CONTEXT)).alias("right"),
-    )
+def _class(kind: Column, value: Column) -> Column:
+    """What an entity belongs to: the domain, the first two parts of an address, the issuer, country and area."""
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    out = F.when(kind == "email", F.substring_index(value, "@", -1)).when(kind == "ip", F.substring_index(value, ".", 2))
+    return out.when(kind == "card", F.substring(digits, 1, 6)).otherwise(F.substring(digits, 1, 4))
+
+
+def _searched(own: DataFrame) -> DataFrame:
+    """(doc_id, row, n_<kind>..., base, ents): the entities of each of ``own`` (doc_id, text), in one scan of the texts.
+
+    base lists kind:start:end, ents has the kind, the value and the text to either side of each.
+    """
+
+    def around(kind: str) -> Callable[[Column], Column]:
+        def one(x: Column) -> Column:
+            a = F.greatest(x["s"] - F.lit(CONTEXT), F.lit(0))
+            left, right = F.substring(F.col("text"), a + 1, x["s"] - a), F.substring(F.col("text"), x["e"] + 1, F.lit(CONTEXT))
+            return F.struct(F.lit(kind).alias("kind"), F.lower(x["v"]).alias("value"), left.alias("left"), right.alias("right"))
+
+        return one
+
+    found = base_spans(own)
+    base, ents = F.concat(*(listed(k, F.col(k)) for k in KINDS)), F.concat(*(F.transform(F.col(k), around(k)) for k in KINDS))
+    return found.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), base.alias("base"), ents.alias("ents"))
+
+
+def listed(kind: str, spans: Column) -> Column:
+    return F.transform(spans, lambda x: F.concat_ws(":", F.lit(kind), x["s"].cast("string"), x["e"].cast("string")))
+
+
+def _contexts(searched: DataFrame) -> DataFrame:
+    """(level, value, context, term): the terms around each entity, for its value, class and kind."""
+    one = searched.select(F.explode_outer("ents").alias("x")).where("x IS NOT NULL").select("x.*")
     # a word that the window may have cut is left out
     cut_left, cut_right = rf"(?<![\p{{L}}\p{{M}}])(?<!\A){_TERM}", rf"(?<![\p{{L}}\p{{M}}]){_TERM}(?!\z)(?![\p{{L}}\p{{M}}])"
     terms = F.concat(*(F.regexp_extract_all(F.col(side), F.lit(p), F.lit(0)) for side, p in (("left", cut_left), ("right", cut_right))))
-    return one.select("value", F.xxhash64("left", "right").alias("context"), F.explode(F.transform(terms, F.lower)).alias("term"))
+    one = one.select("kind", "value", F.xxhash64("left", "right").alias("context"), F.explode_outer(F.transform(terms, F.lower)).alias("term")).where("term IS NOT NULL")
+    levels = {"value": F.col("value"), "class": _class(F.col("kind"), F.col("value")), "kind": F.lit("")}
+    entities = F.array(*(F.struct(F.lit(k).alias("level"), F.concat_ws(":", "kind", v).alias("value")) for k, v in levels.items()))
+    return one.select(F.explode(entities).alias("e"), "context", "term").select("e.level", "e.value", "context", "term")
+
+
+def _words(docs: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` and term for each word that could be a term."""
+    runs = docs.select(*keep, F.explode_outer(F.split("text", r"[^\p{L}\p{M}]+")).alias("w")).where("length(w) > 2")
+    return runs.select(*keep, F.lower("w").alias("term"))
+
+
+def _sent(terms: DataFrame) -> DataFrame:
+    """``terms``, to be sent to all tasks if there are no more than SEND of them."""
+    return F.broadcast(terms) if terms.limit(SEND + 1).count() <= SEND else terms
 
 
 def _occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -117,38 +161,42 @@ def _occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
     s = F.col("begin") + F.col("x.s")
     words = words.select("doc_id", "row", "at", F.lower("x.v").alias("term"), s.alias("s"), (F.col("begin") + F.col("x.e")).alias("e"))
     words = words.where((F.col("s") >= F.col("at")) & (F.col("s") < F.col("at") + PIECE))
-    if terms.limit(SEND + 1).count() <= SEND:
-        terms = F.broadcast(terms)
-    return words.join(terms, "term").select("doc_id", "row", "s", "e", "share")
+    return words.join(_sent(terms), "term").select("doc_id", "row", "s", "e", "share")
 
 
-def _term_spans(own: DataFrame, found: DataFrame) -> DataFrame:
+def _term_spans(own: DataFrame, searched: DataFrame) -> DataFrame:
     """(doc_id, row, s, e, share): the places of all revealing terms, in all of ``own``."""
-    contexts = cut(_contexts(found))
+    contexts = cut(_contexts(searched))
     terms = cut(revealing(own, contexts).groupBy("term").agg(F.max("share").alias("share")))
+    release(contexts)
     if terms.isEmpty():
         return own.sparkSession.createDataFrame([], "doc_id long, row long, s int, e int, share double")
-    return _occurrences(own.withColumn("row", F.xxhash64("doc_id", "text")), terms)
+    keyed = own.withColumn("row", F.xxhash64("doc_id", "text"))
+    holds = cut(_words(keyed, "row").join(_sent(terms), "term", "left_semi").select("row").distinct())
+    return _occurrences(keyed.join(_sent(holds), "row", "left_semi"), terms)
 
 
 def revealing(docs: DataFrame, contexts: DataFrame) -> DataFrame:
-    """(value, term, share, bits): terms that give a value away, with the share of their occurrences that do."""
-    each = contexts.groupBy("value", "term", "context").agg(F.count("*").alias("n"))
-    pairs = each.groupBy("value", "term").agg(F.count("*").alias("support"), F.sum("n").alias("n")).where(F.col("support") >= SUPPORT)
+    """(level, value, term, share, bits): terms that give an entity away, with the share of their occurrences that do.
+
+    ``contexts`` has (level, value, context, term); terms are counted in all of column text of ``docs``.
+    """
+    each = contexts.groupBy("level", "value", "term", "context").agg(F.count("*").alias("n"))
+    pairs = each.groupBy("level", "value", "term").agg(F.count("*").alias("support"), F.sum("n").alias("n"))
+    enough = F.when(F.col("level") == "value", SUPPORT["value"]).when(F.col("level") == "class", SUPPORT["class"]).otherwise(SUPPORT["kind"])
+    pairs = cut(pairs.where(F.col("support") >= enough))
     terms = pairs.select("term").distinct()
-    if terms.isEmpty():
-        return pairs.select("value", "term", F.lit(0.0).alias("share"), F.lit(0.0).alias("bits"))
-    words = docs.select(F.explode(F.transform(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)), F.lower)).alias("term"))
-    if terms.limit(SEND + 1).count() <= SEND:
-        words = words.join(F.broadcast(terms), "term", "left_semi")
-    counts = words.groupBy("term").agg(F.count("*").alias("all"))
-    total = contexts.select(F.count("*").alias("total")).scalar()
-    values = contexts.groupBy("value").agg(F.count("*").alias("of"))
-    scored = pairs.join(counts, "term").join(values, "value")
+    if pairs.isEmpty():
+        return pairs.select("level", "value", "term", F.lit(0.0).alias("share"), F.lit(0.0).alias("bits"))
+    counts = _words(docs).join(_sent(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("all"))
+    total = contexts.where("level = 'value'").select(F.count("*").alias("total")).scalar()
+    values = contexts.groupBy("level", "value").agg(F.count("*").alias("of"))
+    scored = pairs.join(counts, "term").join(values, ["level", "value"])
     share = F.least(F.col("n") / F.col("all"), F.lit(1.0))
     own = F.log2(total / F.col("of"))
-    scored = scored.select("value", "term", share.alias("share"), F.log2(share * total / F.col("of")).alias("bits"), own.alias("own"))
-    return scored.where((F.col("share") >= REVEALS) & (F.col("bits") >= TELLS * F.col("own"))).drop("own")
+    scored = scored.select("level", "value", "term", share.alias("share"), F.log2(share * total / F.col("of")).alias("bits"), own.alias("own"))
+    # what is all there is has no information to give away
+    return scored.where((F.col("own") > 0) & (F.col("share") >= REVEALS) & (F.col("bits") >= TELLS * F.col("own"))).drop("own")
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -159,17 +207,11 @@ def find(docs: DataFrame) -> DataFrame:
     carried. Other columns are ignored. An empty table gives an empty result.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = base_spans(own).withColumn("row", F.xxhash64("doc_id", "text"))
-    terms = _term_spans(own, found)
+    searched = cut(_searched(own))
+    terms = _term_spans(own, searched)
     terms = terms.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("terms"))
     terms = terms.select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), "terms")
-
-    def listed(kind: str, spans: Column) -> Column:
-        return F.transform(spans, lambda x: F.concat_ws(":", F.lit(kind), x["s"].cast("string"), x["e"].cast("string")))
-
-    base = F.concat(*(listed(k, F.col(k)) for k in KINDS))
-    light = found.select("doc_id", "row", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), base.alias("base"))
-    both = light.join(terms, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("row") == F.col("_r")), "left")
+    both = searched.drop("ents").join(terms, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("row") == F.col("_r")), "left")
     extra = F.coalesce("terms", F.array().cast("array<struct<s:int,e:int>>"))
     return both.select(
         "doc_id", *(f"n_{k}" for k in KINDS), F.sha2(F.array_join("base", ",").cast("binary"), 256).alias("base_sha256"),
@@ -184,7 +226,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = base_spans(own).withColumn("row", F.xxhash64("doc_id", "text"))
-    terms = _term_spans(own, found)
+    terms = _term_spans(own, cut(_searched(own)))
     word = F.when(F.col("share") >= REMOVES, F.lit("")).otherwise(F.lit("<term>"))
     terms = terms.groupBy("doc_id", "row").agg(F.collect_set(F.struct("s", F.negative("e").alias("m"), word.alias("w"))).alias("terms"))
     terms = terms.select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), "terms")
