@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrille import terms
-from quadrille.functions.regex import RegexError, to_python, translate
+from quadrille.functions.regex import DEPTH, GROUP, SOUND, UNSOUND, RegexError, to_python, translate
 from quadrille.model import Call, Expr, Lit, Res, Var
 
 ERROR = "struct<code:string,detail:string>"
@@ -129,8 +129,12 @@ def parse_variables(df: DataFrame, wanted: Iterable[int], readings: DataFrame |
 
 
 def regex_ok(pattern: Column) -> Column:
-    """Whether a pattern from the data can be used; only look-around and back-references are looked for."""
-    return ~F.regexp_replace(pattern, r"\\\\", "").rlike(r"\(\?(?:[=!>]|<[=!])|\\[1-9]|\\k")
+    """Whether a pattern from the data is one of the rule language: regex.sound as a column.
+
+    The steps are folded over, which keeps them out of the code that is generated for each comparison.
+    """
+    steps = F.array(*(F.struct(F.lit(find).alias("find"), F.lit(put).alias("put")) for find, put in (*SOUND, *[(GROUP, "g")] * DEPTH)))
+    return ~F.aggregate(steps, pattern, lambda out, x: F.regexp_replace(out, x["find"], x["put"])).rlike(UNSOUND)
 
 
 def any_literal_parts(term: Column) -> tuple[Column, Column]:
@@ -145,6 +149,15 @@ def comparable(v: Value) -> tuple[Column | str, Column, Column | None]:
     return v.kind[0], text, None
 
 
+def canonical_decimal(c: Column) -> Column:
+    """The one spelling of a lexical decimal's value: no plus sign, no zeros at either end, no bare point, no -0."""
+    whole = F.regexp_replace(F.regexp_extract(c, r"\A[+-]?([0-9]*)", 1), r"\A0+", "")
+    rest = F.regexp_replace(F.regexp_extract(c, r"\.([0-9]*)\z", 1), r"0+\z", "")
+    zero = (whole == "") & (rest == "")
+    sign = F.when(F.startswith(c, F.lit("-")) & ~zero, "-").otherwise("")
+    return F.concat(sign, F.when(whole == "", "0").otherwise(whole), F.when(rest == "", "").otherwise(F.concat(F.lit("."), rest)))
+
+
 def decimal_order(a: Column, b: Column) -> Column:
     """-1, 0 or 1 for lexical decimals of any length, exactly."""
     short = a.rlike(r"\A[+-]?[0-9]{0,18}(\.[0-9]{0,16})?\z") & b.rlike(r"\A[+-]?[0-9]{0,18}(\.[0-9]{0,16})?\z")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille import terms
-from quadrille.functions.expressions import ERROR, Value, any_literal_parts, comparable, comparable_parts, compile_expr, fail, first_error, instantiate, no_error, parse_variables
+from quadrille.functions.expressions import ERROR, Value, any_literal_parts, canonical_decimal, comparable, comparable_parts, compile_expr, fail, first_error, instantiate, no_error, parse_variables
 from quadrille.model import Eq, Reason, Rule, Signed, Triple, True_, Validation, variables_of
 from quadrille.plans.match import substitutions
 from quadrille.sources.graph import TRIPLE, Graph
@@ -29,6 +31,10 @@ class EvaluationError(ValueError):
         self.code, self.detail = code, detail
 
 
+class DatasetError(RuntimeError):
+    """The graph couldn't be read while a rule was evaluated; the cause is Spark's error."""
+
+
 class Deductions:
     """Statements deduced by rules, a lazy DataFrame of COLUMNS; duplicates are kept (a bag)."""
 
@@ -60,8 +66,29 @@ class Deductions:
         df = self.df.where(F.col("kind") == "triple")
         return (df if positive is None else df.where(F.col("positive") == F.lit(positive))).select(*TRIPLE)
 
+    def statements(self, g: str | None = None) -> DataFrame:
+        """(positive, kind, s, p, o, g): all statements lifted to a graph. An equality has its terms in s and o and is of
+        the graph too; a value that should be true is in s, and of no graph.
+        """
+        graph = F.when(F.col("kind") != "true", F.lit(g).cast("string"))
+        return self.df.select("positive", "kind", "s", "p", "o", graph.alias("g"))
+
+    def causes(self, graph: Graph) -> DataFrame:
+        """(positive, s, p, o, cause: struct<kind, id>): the facts of ``graph`` as stated, the deduced triples as entailed.
+
+        An entailed fact's id is that of its row of entailments; a fact with several causes has a row for each.
+        """
+        stated = graph.triples().select(*TRIPLE, F.struct(F.lit("stated").alias("kind"), F.xxhash64(*TRIPLE).alias("id")).alias("cause"))
+        own = self.df.where((F.col("kind") == "triple") & F.col("error").isNull())
+        entailed = own.select(*TRIPLE, F.struct(F.lit("entailed").alias("kind"), F.xxhash64("deduction_id").alias("id")).alias("cause"))
+        return stated.unionByName(entailed)
+
+    def entailments(self) -> DataFrame:
+        """(id, rule_id, substitution) of each deduction."""
+        return self.df.select(F.xxhash64("deduction_id").alias("id"), "rule_id", "substitution").distinct()
+
     def quads(self, g: str | None = None) -> DataFrame:
-        """The deduced triples lifted to a graph; statements of other kinds have none."""
+        """The deduced triples lifted to a graph; see statements for those of other kinds."""
         return self.triples().withColumn("g", F.lit(g).cast("string"))
 
     def insert_into(self, graph: Graph, g: str | None = None) -> Graph:
@@ -94,34 +121,46 @@ class Deductions:
         return graph.contains(self.df.where((F.col("kind") == "triple") & F.col("error").isNull()))
 
     def validate(self, graph: Graph) -> Validation:
-        """Raises if any expression failed; else the least violation by rule, statement and substitution, if any."""
-        self.check()
-        row = self.violations(graph).orderBy("rule_id", "stmt_idx", "substitution").take(1)
+        """Raises if any expression failed; else the least violation by rule, statement and substitution, if any.
+
+        Errors and violations are looked for by one job; Spark's own errors come as DatasetError.
+        """
+        kept = ["rule_id", "substitution", "stmt_idx", "positive", "s", "p", "o", "reason", "error"]
+        failed = self.errors().withColumn("reason", F.lit("")).select(*kept)
+        found = failed.unionByName(self.violations(graph).withColumn("error", no_error()).select(*kept))
+        try:
+            row = found.orderBy(F.col("error").isNull(), "rule_id", "stmt_idx", "substitution").take(1)
+        except (PySparkException, Py4JError) as e:
+            raise DatasetError(str(e)) from e
         if not row:
             return Validation()
         r = row[0]
+        if r["error"]:
+            raise EvaluationError(*r["error"])
         return Validation(Reason(r["reason"], r["positive"], tuple(x for x in (r["s"], r["p"], r["o"]) if x is not None), r["rule_id"]))
 
 
 def _readings(graph: Graph) -> DataFrame:
-    """(resource, kind, value, error, lexical, any_error) of resources that stand for literals; several must agree."""
+    """(resource, kind, value, error, lexical, any_error) of resources that stand for literals; several must agree, decimals by their value."""
     own = graph.interpretation.select("resource", "term").where(terms.is_literal(F.col("term"))).distinct()
     kind, value, error = comparable_parts(F.col("term"))
     lex, _ = any_literal_parts(F.col("term"))
-    rows = own.select("resource", kind.alias("kind"), value.alias("value"), error.alias("error"), lex.alias("lexical"))
-    many = F.when(F.count_distinct("kind", "value") > 1, fail("AmbiguousLiteral", F.col("resource")))
+    same = F.when(kind == "d", canonical_decimal(value)).otherwise(value)
+    rows = own.select("resource", kind.alias("kind"), value.alias("value"), same.alias("same"), error.alias("error"), lex.alias("lexical"))
+    many = F.when(F.count_distinct("kind", "same") > 1, fail("AmbiguousLiteral", F.col("resource")))
     several = F.when(F.count_distinct("lexical") > 1, fail("AmbiguousLiteral", F.col("resource")))
     return rows.groupBy("resource").agg(
         F.min("kind").alias("kind"), F.min("value").alias("value"), F.coalesce(F.min("error"), many).alias("error"), F.min("lexical").alias("lexical"), several.alias("any_error")
     )
 
 
-def deduce(rule: Rule, graph: Graph, seed: DataFrame | dict[int, str] | None = None, exclude: int | None = None, rule_id: int = 0, namespace: str = "") -> Deductions:
+def deduce(rule: Rule, graph: Graph, seed: DataFrame | dict[int, str] | None = None, exclude: int | None = None, rule_id: int = 0, namespace: str = "", generator: Callable[[Column], Column] | None = None) -> Deductions:
     """All deductions of ``rule`` over ``graph``, in one pass.
 
     ``seed`` gives initial bindings, as a dict or as a DataFrame of columns v<index>; ``exclude`` leaves out a pattern.
     Fresh resources are blanks named by a hash of namespace, rule, variable and substitution, so a retried task makes
-    the same; equal substitutions are numbered where the graph can give any.
+    the same; equal substitutions are numbered where the graph can give any. ``generator`` may make other terms of what
+    is hashed, a column of one text for each fresh resource; it must make different ones of different texts.
     """
     if isinstance(seed, dict):
         row = graph.spark.range(1)
@@ -138,12 +177,13 @@ def deduce(rule: Rule, graph: Graph, seed: DataFrame | dict[int, str] | None = N
         occurrence = F.col("_n")
     identity = F.concat_ws("|", F.lit(namespace), F.lit(str(rule_id)), mark, occurrence.cast("string"))
 
+    named = generator or (lambda x: F.concat(F.lit("_:f"), F.sha2(x, 256)))
     wanted = {v for s in rule.conclusion.statements for v in _in_calls(s.value)} & set(bound)
     df, parsed = parse_variables(df, wanted, None if graph.interpretation is None else _readings(graph))
 
     def variable(k: int) -> Value:
         if k >= rule.variables:
-            return Value("resource", F.concat(F.lit("_:f"), F.sha2(F.concat_ws("|", F.lit(str(k - rule.variables)), identity), 256)))
+            return Value("resource", named(F.concat_ws("|", F.lit(str(k - rule.variables)), identity)))
         return parsed(k)
 
     structs = [_statement(k, s, variable) for k, s in enumerate(rule.conclusion.statements)]

@@ -81,7 +81,7 @@ class System:
     def saturate(self, graph: Graph, rounds: int = 100) -> Graph:
         """Extension: positive triples inserted until nothing new comes, each round from the last one's new facts.
 
-        Each round is cut to the folder in spark.checkpoint.dir. Rules with fresh resources may never end; then it stops
+        Each round's new facts are cut to the folder in spark.checkpoint.dir, older ones are not written again. Rules with fresh resources may never end; then it stops
         with an error after ``rounds`` rounds.
         """
         spark = graph.spark
@@ -93,7 +93,7 @@ class System:
             if new.isEmpty():
                 none = F.lit(None).cast("string")
                 return graph.insert(known.withColumn("g", none).join(graph.quads.select(*TRIPLE), TRIPLE, "left_anti"))
-            known = known.unionByName(new).checkpoint()
+            known = known.unionByName(new)
             now = Graph(known.withColumn("g", F.lit(None).cast("string")), True, graph.interpretation)
             new = self.deduce_from(now, new).check().triples(True).distinct().join(known, TRIPLE, "left_anti").checkpoint()
         raise RuntimeError(f"not saturated after {rounds} rounds")

@@ -77,12 +77,16 @@ def suffix(term: Column) -> Column:
 
 
 def lexical(term: Column) -> Column:
-    """The unescaped lexical form of a literal."""
+    """The unescaped lexical form of a literal, whose term is canonical: it has the escapes of ``escape`` and no others."""
     inner = F.substring(term, F.lit(2), F.length(term) - F.length(suffix(term)) - F.lit(2))
-    out = F.replace(inner, F.lit("\\\\"), F.lit("\x00"))
-    for raw in ('"', "\n", "\r"):
-        out = F.replace(out, F.lit(_ESCAPES[raw]), F.lit(raw))
-    out = F.replace(F.replace(out, F.lit("\\t"), F.lit("\t")), F.lit("\x00"), F.lit("\\"))
+
+    def plain(part: Column) -> Column:
+        for raw in ('"', "\n", "\r"):
+            part = F.replace(part, F.lit(_ESCAPES[raw]), F.lit(raw))
+        return part
+
+    # what lies between escaped backslashes has no backslash but those of the other escapes
+    out = F.array_join(F.transform(F.split(inner, r"\\\\", -1), plain), "\\")
     return F.when(F.contains(inner, F.lit("\\")), out).otherwise(inner)
 
 

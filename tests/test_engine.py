@@ -218,6 +218,73 @@ def test_interpretation(spark):
     assert AGE.validate(one).is_valid
     with pytest.raises(EvaluationError, match="AmbiguousLiteral"):
         AGE.validate(Graph.of(spark, [("_:a", iri("age"), "_:m")], means))
+    assert AGE.validate(Graph.of(spark, [("_:a", iri("age"), "_:k")], means)).is_valid  # one value, spelled in two ways
+
+
+SOUND_PATTERNS = [r"^[\w\-\.]+@([\w-]+\.)+[\w-]{2,}$", "a|(b*)c?", r"\(", r"[(*]", "(?i)x", "(?:a)(?P<n>b)", r"\p{L}+\x{41}", r"\\1", "[]a]", "[[:alpha:]_]+", "((((a))))", "", "a{2}"]
+UNSOUND_PATTERNS = ["(", "a)", ")(", "[a", "*a", "a|+b", "(?=a)", "(?<!a)b", r"(a)\1", "a\\", "(*)", "a*+", "(?>a)", "{2}"]
+
+
+def test_patterns_of_the_data_are_held_to_the_dialect(spark):
+    from quadrille.functions import regex
+
+    assert all(map(regex.sound, SOUND_PATTERNS)) and not any(map(regex.sound, UNSOUND_PATTERNS))
+    r = rule('for ?x, ?y { ?x ex:p ?y . } => { (!= ?y "z") . }')
+    facts = [(f"_:{k}", iri("p"), terms.literal(p, terms.REGEX)) for k, p in enumerate(SOUND_PATTERNS + UNSOUND_PATTERNS)]
+    bad = {x["substitution"][1] for x in r.deduce(Graph.of(spark, facts)).errors().collect()}
+    assert bad == {terms.literal(p, terms.REGEX) for p in UNSOUND_PATTERNS}
+
+
+def test_lexical_forms(spark):
+    texts = ["", "a", "\\", "\\\\n", '"', 'a\\"b', "\n\r", "\x00\\", "\\\x00n", "é\\\\", "^^<x>", '"^^<y>']
+    df = spark.createDataFrame([(k, terms.literal(t, d)) for k, t in enumerate(texts) for d in (terms.STRING, terms.DECIMAL)], "k int, term string")
+    assert all(texts[r["k"]] == r["x"] for r in df.select("k", terms.lexical(F.col("term")).alias("x")).collect())
+
+
+def test_constants_are_pushed_to_the_files(spark, tmp_path):
+    from quadrille.sources import triplify as t
+
+    spark.createDataFrame([(1, "x", 2.5, True), (2, 'a"\\', -1.0, False), (3, None, None, None)], "k int, name string, cost double, flag boolean").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    slots = {"name": t.text(F.col("name")), "cost": t.money(F.col("cost")), "flag": t.boolean(F.col("flag")), "next": t.node("n", F.col("k") + 1)}
+    g = Graph.union_of([t.branch(df, t.node("n", F.col("k")), t.name(p), o) for p, o in slots.items()])
+    quads = Graph(g.quads)
+    rows = g.quads.collect()
+    assert len(rows) == 9
+    for r in rows:  # by each constant, as among the quads themselves
+        for pattern in (Pattern(Var(0), Res(r["p"]), Res(r["o"])), Pattern(Res(r["s"]), Var(0), Var(1)), Pattern(Var(0), Var(1), Res(r["o"]))):
+            assert sorted(map(tuple, g.scan(positive(pattern)).collect())) == sorted(map(tuple, quads.scan(positive(pattern)).collect())) != []
+    for o in ('"x"@en', terms.literal("2.5", terms.DECIMAL), terms.literal("true", terms.BOOLEAN), f"<{t.BASE}n/02>", "_:x"):
+        assert g.scan(positive(Pattern(Var(0), Var(1), Res(o)))).isEmpty()
+    plan = g.scan(positive(Pattern(Var(0), Res(t.name("name")), Res('"x"'))))._jdf.queryExecution().toString()
+    assert "EqualTo(name,x)" in plan and "Union" not in plan.split("Physical Plan")[1]
+    for text in ("for ?a, ?b, ?c { ?a ex:next ?b . ?b ex:name ?c . } => { ?a ex:p ?c . }", "for ?a, ?b { ?a ?b ?a . } => { }", "for ?a, ?p, ?b, ?q, ?c { ?a ?p ?b . ?b ?q ?c . } => { ?a ?p ?c . }"):
+        r = rule(text)
+        assert sorted(map(tuple, r.deduce(g).triples().collect())) == sorted(map(tuple, r.deduce(quads).triples().collect()))
+
+
+def test_lifting_and_causes(spark):
+    g = Graph.of(spark, [("_:a", iri("p"), "_:b")])
+    out = rule("for ?x, ?y { ?x ex:p ?y . } => { ?x ex:q ?y . ?x = ?y . (= ?x ?y) . }").deduce(g)
+    assert {(r["kind"], r["g"]) for r in out.statements("_:g").collect()} == {("triple", "_:g"), ("eq", "_:g"), ("true", None)}
+    rows = out.causes(g).collect()
+    assert sorted((r["p"], r["cause"]["kind"]) for r in rows) == [(iri("p"), "stated"), (iri("q"), "entailed")]
+    known = {r["id"]: r["substitution"] for r in out.entailments().collect()}
+    assert [known[r["cause"]["id"]] for r in rows if r["cause"]["kind"] == "entailed"] == [["_:a", "_:b"]]
+    fresh = rule("for ?x, ?y { ?x ex:p ?y . } => for ?c { ?x ex:q ?c . }")
+    assert fresh.deduce(g, generator=lambda x: F.concat(F.lit("_:mine"), F.md5(x))).df.first()["o"].startswith("_:mine")
+
+
+def test_unreadable_graphs(spark, tmp_path):
+    from quadrille.operators.deduce import DatasetError
+
+    g = Graph.of(spark, [("_:a", iri("p"), '"1"')])
+    g.write(str(tmp_path / "q"))
+    lost = Graph.read(spark, str(tmp_path / "q"))
+    for f in (tmp_path / "q").iterdir():
+        f.unlink()
+    with pytest.raises(DatasetError):
+        rule("for ?x, ?y { ?x ex:p ?y . } => { ?x ex:q ?y . }").validate(lost)
 
 
 def naive(rule_, quads):
@@ -265,7 +332,12 @@ def test_sources_and_stream(spark, tmp_path):
     from quadrille.streaming.incremental import deduce_stream
 
     (tmp_path / "f.nt").write_text(f'# facts\n_:a {iri("p")} "x"^^<{terms.STRING}> .\n_:a {iri("p")} "y"@en {iri("g")} .\nbroken line\n')
-    g = ntriples.read(spark, str(tmp_path / "f.nt"))
+    with pytest.raises(ValueError, match="broken line"):
+        ntriples.read(spark, str(tmp_path / "f.nt"))
+    assert [r[0] for r in ntriples.malformed(spark, str(tmp_path / "f.nt")).collect()] == ["broken line"]
+    (tmp_path / "e.nt").write_text(f'_:a {iri("p")} "see ^^<{terms.STRING}> \\u0041\\t\\\\" .\n_:a <https://example.org/\\u0070> "\\U0001F600" .\n')
+    assert {(r["p"], r["o"]) for r in ntriples.read(spark, str(tmp_path / "e.nt")).quads.collect()} == {(iri("p"), f'"see ^^<{terms.STRING}> A\t\\\\"'), (iri("p"), '"😀"')}
+    g = ntriples.read(spark, str(tmp_path / "f.nt"), strict=False)
     assert sorted(r["o"] for r in g.quads.collect()) == ['"x"', '"y"@en']
     g.write(str(tmp_path / "g"))
     assert Graph.read(spark, str(tmp_path / "g")).quads.count() == 2
