@@ -166,8 +166,7 @@ def join_cyclic(spark, d):
 
 def seeded_incremental(spark, d):
     g = graph(orders(spark, d), customers(spark, d))
-    few = table(spark, d, "orders").where("o_orderkey < 100")
-    delta = _column(few, "order", "o_orderkey", "o_custkey", t.node("customer", F.col("o_custkey"))).quads()
+    delta = _column(table(spark, d, "orders"), "order", "o_orderkey", "o_custkey", t.node("customer", F.col("o_custkey"))).quads()
     out = System([rule("for ?o, ?c, ?g { ?o ex:o_custkey ?c . ?c ex:c_mktsegment ?g . } => { ?o ex:segment ?g . }")]).deduce_from(g, delta).df
     return out.select(_key("s", "order").alias("o_orderkey"), terms.lexical(F.col("o")).alias("c_mktsegment"))
 
@@ -280,18 +279,161 @@ def system_validate(spark, d):
 
 def saturate_regions(spark, d):
     """Extension: customers' places by transitive closure."""
-    spark_dir = spark.sparkContext
-    if not spark_dir.getCheckpointDir():
+    if not spark.sparkContext.getCheckpointDir():
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
-        spark_dir.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    into = lambda df, k, key, o: t.branch(df, t.node(k, F.col(key)), t.name("in"), o)
-    c, n = table(spark, d, "customer"), table(spark, d, "nation")
-    g = graph([into(c, "customer", "c_custkey", t.node("nation", F.col("c_nationkey"))), into(n, "nation", "n_nationkey", t.node("region", F.col("n_regionkey")))])
+        spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp())
+    g = _inside(spark, d)
     out = System([rule("for ?a, ?b, ?c { ?a ex:in ?b . ?b ex:in ?c . } => { ?a ex:in ?c . }")]).saturate(g).quads
     return out.where(F.startswith("s", F.lit(f"<{EX}customer/")) & F.startswith("o", F.lit(f"<{EX}region/"))).select(_key("s", "customer").alias("c_custkey"), _key("o", "region").cast("int").alias("n_regionkey"))
 
 
+def join_predicate_subject(spark, d):
+    """A pattern's predicate is the subject of another."""
+    kinds = [t.branch(spark.range(1), t.name(c), terms.RDF_TYPE, t.name("Key")) for c in ("c_nationkey", "c_regionkey")]
+    found = _scan(rule("for ?c, ?p, ?v { ?p rdf:type ex:Key . ?c ?p ?v . } => { }"), graph(customers(spark, d), kinds))
+    return found.select(_key("v0", "customer").alias("c_custkey"), _key("v2", "nation").cast("int").alias("c_nationkey"))
+
+
+def several_statements(spark, d):
+    r = rule("for ?c, ?n { ?c ex:c_nationkey ?n . } => { ?c rdf:type ex:Customer . ?n rdf:type ex:Nation . }")
+    out = r.deduce(graph(customers(spark, d))).df
+    return out.select("stmt_idx", F.regexp_extract("s", r"/([0-9]+)>", 1).cast("long").alias("id"))
+
+
+def empty_hypothesis(spark, d):
+    """A body without patterns holds once."""
+    return rule("{ } => { ex:a ex:p ex:b . }").deduce(graph(customers(spark, d))).df.agg(F.count("*").alias("n"))
+
+
+def compare_ne(spark, d):
+    out = rule('for ?o, ?x { ?o ex:o_orderpriority ?x . } => { ?o ex:calm (!= ?x "1-URGENT") . }').deduce(graph(orders(spark, d))).df
+    return out.select(_key("s", "order").alias("o_orderkey"), _true().alias("ok"))
+
+
+def compare_gt(spark, d):
+    out = rule("for ?c, ?b { ?c ex:c_acctbal ?b . } => { ?c ex:rich (> ?b 5000) . }").deduce(graph(customers(spark, d))).df
+    return out.select(_key("s", "customer").alias("c_custkey"), _true().alias("ok"))
+
+
+def matches_any_literal(spark, d):
+    """Any literal is matched by its lexical form, a number too."""
+    out = rule('for ?p, ?z { ?p ex:p_size ?z . } => { ?p ex:one (matches /"^1"/ ?z) . }').deduce(graph(sizes(spark, d))).df
+    return out.select(_key("s", "part").alias("p_partkey"), _true().alias("ok"))
+
+
+def _patterns(spark, d, odd: str) -> list[Branch]:
+    """A regular expression for each region as a term of the data."""
+    even, other = terms.literal("^[A-M]", terms.REGEX), terms.literal(odd, terms.REGEX)
+    return [_column(table(spark, d, "region"), "region", "r_regionkey", "pattern", F.when(F.col("r_regionkey") % 2 == 0, even).otherwise(other))]
+
+
+def matches_pattern_from_data(spark, d):
+    r = rule("for ?n, ?r, ?x, ?y { ?n ex:n_regionkey ?r . ?r ex:pattern ?x . ?n ex:n_name ?y . } => { ?n ex:fits (matches ?x ?y) . }")
+    out = r.deduce(graph(places(spark, d), _patterns(spark, d, "^[N-Z]"))).df
+    return out.select(_key("s", "nation").cast("int").alias("n_nationkey"), _true().alias("ok"))
+
+
+def _errors(df: DataFrame) -> DataFrame:
+    return df.groupBy(F.col("error.code").alias("code")).agg(F.count("*").alias("n"))
+
+
+def invalid_regex_term(spark, d):
+    """A malformed pattern is an invalid literal in any comparison, not an unequal one."""
+    r = rule('for ?r, ?x { ?r ex:pattern ?x . } => { (!= ?x "z") . }')
+    return _errors(r.deduce(graph(_patterns(spark, d, "(^[N-Z]"))).errors())
+
+
+def evaluation_errors(spark, d):
+    """Connectives convert arguments one by one until one decides."""
+    r = rule("for ?c, ?b, ?g { ?c ex:c_acctbal ?b . ?c ex:c_mktsegment ?g . } => { (or (>= ?b 0) ?g) . }")
+    out = r.deduce(graph(customers(spark, d))).errors()
+    return out.select(_key(_sub(out, 0), "customer").alias("c_custkey"), F.col("error.code").alias("code"))
+
+
+def eager_arguments(spark, d):
+    """Calls within a connective are evaluated even where they don't matter."""
+    r = rule('for ?c, ?b, ?g { ?c ex:c_acctbal ?b . ?c ex:c_mktsegment ?g . } => { (or (>= ?b -1000000) (matches "a" ?g)) . }')
+    return _errors(r.deduce(graph(customers(spark, d))).errors())
+
+
+def _outcome(spark, d, head: str) -> DataFrame:
+    """How validating a rule over customers' balances and segments ends: valid, a violation's reason or an error's code."""
+    from quadrille.operators.deduce import EvaluationError
+
+    r = rule(f"for ?c, ?b, ?g {{ ?c ex:c_acctbal ?b . ?c ex:c_mktsegment ?g . }} => {{ {head} }}")
+    try:
+        found = r.validate(graph(customers(spark, d)))
+        out = "valid" if found.is_valid else found.reason.code
+    except EvaluationError as e:
+        out = e.code
+    return spark.createDataFrame([(out,)], "outcome string")
+
+
+def errors_before_violations(spark, d):
+    return _outcome(spark, d, "(>= ?b 0) . (and ?g) .")
+
+
+def validate_outcomes(spark, d):
+    heads = ("(>= ?b 0) .", "(>= ?b -1000000) .", "?c ex:unknown ?g .", "! (< ?b 0) .")
+    return _outcome(spark, d, heads[0]).unionByName(_outcome(spark, d, heads[1])).unionByName(_outcome(spark, d, heads[2])).unionByName(_outcome(spark, d, heads[3]))
+
+
+def user_function(spark, d):
+    from quadrille.functions.expressions import Value, register_function, to_any_literal
+
+    def lower(args):
+        text, error = to_any_literal(args[0])
+        return Value("string", F.lower(text), error)
+
+    register_function("lower", lower)
+    out = rule("for ?c, ?g { ?c ex:c_mktsegment ?g . } => { ?c ex:low (lower ?g) . }").deduce(graph(customers(spark, d))).df
+    return out.select(_key("s", "customer").alias("c_custkey"), terms.lexical(F.col("o")).alias("low"))
+
+
+def ambiguous_literal(spark, d):
+    """Literals that a resource stands for must agree, decimals by value."""
+    df = table(spark, d, "customer")
+    k = F.col("c_custkey")
+    made = F.array(t.integer(k).term, terms.literal_column(F.concat(k.cast("string"), F.lit(".0")), terms.DECIMAL, plain=True), t.integer(F.when(k % 10 == 0, k + 1).otherwise(k)).term)
+    means = df.select(t.node("customer", k).term.alias("resource"), F.explode(made).alias("term"))
+    g = Graph.union_of(customers(spark, d), True)
+    out = rule("for ?c, ?n { ?c ex:c_nationkey ?n . } => { (>= ?c 0) . }").deduce(Graph(g.branches, True, means)).errors()
+    return out.select(_key(_sub(out, 0), "customer").alias("c_custkey"), F.col("error.code").alias("code"))
+
+
+def _inside(spark, d) -> Graph:
+    into = lambda df, k, key, o: t.branch(df, t.node(k, F.col(key)), t.name("in"), o)
+    c, n = table(spark, d, "customer"), table(spark, d, "nation")
+    return graph([into(c, "customer", "c_custkey", t.node("nation", F.col("c_nationkey"))), into(n, "nation", "n_nationkey", t.node("region", F.col("n_regionkey")))])
+
+
+def incremental_several_patterns(spark, d):
+    """New facts that match several patterns of a rule give what they lead to once for each."""
+    g = _inside(spark, d)
+    out = System([rule("for ?a, ?b, ?c { ?a ex:in ?b . ?b ex:in ?c . } => { ?a ex:far ?c . }")]).deduce_from(g, g.triples()).df
+    return out.select(_key("s", "customer").alias("c_custkey"), _key("o", "region").cast("int").alias("n_regionkey"))
+
+
+def fresh_generator(spark, d):
+    r = rule("for ?s, ?n { ?s ex:s_nationkey ?n . } => for ?a { ?s ex:account ?a . }")
+    out = r.deduce(graph(suppliers(spark, d)), generator=lambda x: F.concat(F.lit("_:account"), F.md5(x))).df
+    return out.agg(F.count_distinct("o").alias("n_distinct"), F.sum(F.startswith("o", F.lit("_:account")).cast("long")).alias("n_named"))
+
+
+def causes(spark, d):
+    g = graph(orders(spark, d), customers(spark, d))
+    return rule(BUILDING).deduce(g).causes(g).groupBy(F.col("cause.kind").alias("kind")).agg(F.count("*").alias("n"))
+
+
+def lift_statements(spark, d):
+    out = rule("for ?s, ?n { ?s ex:s_nationkey ?n . } => { ?s rdf:type ex:Supplier . ?s = ?s . (= ?n ?n) . }").deduce(graph(suppliers(spark, d)))
+    return out.statements(t.name("g")).groupBy("kind", "g").agg(F.count("*").alias("n"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -299,7 +441,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         join_subject_object, join_chain4, join_object_object, join_cross, join_cyclic, seeded_incremental, system_union, deduce_computed_boolean,
         materialize_union, existential_fresh, provenance, validate_missing, contains_semi, validate_not_true, validate_not_false, validate_not_eq,
         validate_not_ne, compare_chained, compare_string, compare_value_vs_identity, bool_lexical, bool_or_and, matches_regex, system_validate,
-        saturate_regions,
+        saturate_regions, join_predicate_subject, several_statements, empty_hypothesis, compare_ne, compare_gt, matches_any_literal,
+        matches_pattern_from_data, invalid_regex_term, evaluation_errors, eager_arguments, errors_before_violations, validate_outcomes,
+        user_function, ambiguous_literal, incremental_several_patterns, fresh_generator, causes, lift_statements,
     )
 }
 
@@ -318,7 +462,7 @@ ORACLE_SQL = {
     "join_object_object": "SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey",
     "join_cross": "SELECT r_regionkey, n_nationkey FROM region CROSS JOIN nation",
     "join_cyclic": "SELECT DISTINCT o_orderkey, c_custkey, s_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey AND s_nationkey = c_nationkey",
-    "seeded_incremental": "SELECT o_orderkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey < 100",
+    "seeded_incremental": "SELECT o_orderkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey",
     "system_union": "SELECT 'customer' AS k, c_custkey AS id FROM customer UNION ALL SELECT 'supplier', s_suppkey FROM supplier",
     "deduce_computed_boolean": "SELECT c_custkey, c_acctbal >= 0 AS o FROM customer",
     "materialize_union": "SELECT count(*) AS n FROM (SELECT c_custkey FROM customer UNION SELECT o_custkey FROM orders)",
@@ -338,4 +482,22 @@ ORACLE_SQL = {
     "matches_regex": "SELECT page_id, regexp_matches(url, '^https://[a-z.]+/en/[0-9]+') AS ok FROM pages",
     "system_validate": "SELECT CAST(0 AS INTEGER) AS rule_id, 'missing_triple' AS reason, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT CAST(1 AS INTEGER), 'not_true', count(*) FROM customer WHERE NOT (c_acctbal >= 0)",
     "saturate_regions": "SELECT c_custkey, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey",
+    "join_predicate_subject": "SELECT c_custkey, c_nationkey FROM customer",
+    "several_statements": "SELECT CAST(0 AS INTEGER) AS stmt_idx, c_custkey AS id FROM customer UNION ALL SELECT CAST(1 AS INTEGER), CAST(c_nationkey AS BIGINT) FROM customer",
+    "empty_hypothesis": "SELECT CAST(1 AS BIGINT) AS n",
+    "compare_ne": "SELECT o_orderkey, o_orderpriority <> '1-URGENT' AS ok FROM orders",
+    "compare_gt": "SELECT c_custkey, CAST(c_acctbal AS DECIMAL(18,2)) > 5000 AS ok FROM customer",
+    "matches_any_literal": "SELECT p_partkey, starts_with(CAST(p_size AS VARCHAR), '1') AS ok FROM part",
+    "matches_pattern_from_data": "SELECT n_nationkey, regexp_matches(n_name, CASE WHEN n_regionkey % 2 = 0 THEN '^[A-M]' ELSE '^[N-Z]' END) AS ok FROM nation",
+    "invalid_regex_term": "SELECT 'InvalidLiteral' AS code, count(*) AS n FROM region WHERE r_regionkey % 2 = 1",
+    "evaluation_errors": "SELECT c_custkey, 'Unexpected' AS code FROM customer WHERE NOT (c_acctbal >= 0)",
+    "eager_arguments": "SELECT 'Unexpected' AS code, count(*) AS n FROM customer",
+    "errors_before_violations": "SELECT 'Unexpected' AS outcome",
+    "validate_outcomes": "SELECT unnest(['not_true', 'valid', 'missing_triple', 'not_false']) AS outcome",
+    "user_function": "SELECT c_custkey, lower(c_mktsegment) AS low FROM customer",
+    "ambiguous_literal": "SELECT c_custkey, 'AmbiguousLiteral' AS code FROM customer WHERE c_custkey % 10 = 0",
+    "incremental_several_patterns": "SELECT c_custkey, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey, (SELECT unnest([1, 2]))",
+    "fresh_generator": "SELECT count(*) AS n_distinct, count(*) AS n_named FROM supplier",
+    "causes": f"SELECT 'stated' AS kind, (SELECT 2 * count(*) FROM orders) + (SELECT 3 * count(*) FROM customer) AS n UNION ALL SELECT 'entailed', count(*) {_BUILDING}",
+    "lift_statements": f"SELECT unnest(['triple', 'eq', 'true']) AS kind, unnest(['<{EX}g>', '<{EX}g>', NULL]) AS g, (SELECT count(*) FROM supplier) AS n",
 }
