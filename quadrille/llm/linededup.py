@@ -5,8 +5,11 @@ a table of fixed size, then by hash. Lines with a Jaccard similarity of 0.8 or m
 ones (prefix filter), at places that leave enough tokens to come (positional filter), and are of similar size (length
 filter). What passes is verified on all tokens. The line that comes later, by doc_id and line number, is removed.
 
-Equal lines are one line from the start. Lines under a token are first compared with the token's earliest line, which
-settles most of a large group; only lines that this leaves undecided are compared with the others.
+Equal lines become one line before anything else, with partial aggregation, so a line in any number of documents is one
+row of all that follows, and its text need not be looked up again. Lines under a token are first compared
+with the token's head, which settles most of a large group; a line that this leaves undecided is compared with the
+others under the token that come before it, by their first tokens alone, and what these don't exclude is verified. That
+comparison is quadratic where many unlike lines share a token among their first ones, though what it emits isn't.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrille.llm.shared import cut
+from quadrille.llm.shared import cut, fresh, marks, release
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -22,50 +25,17 @@ THRESHOLD = 0.8
 MIN_WORDS = 3
 #: Entries of the table of token counts.
 COUNTS = 1 << 16
-#: Longs of the bitmap that tells which documents need not be shuffled.
-MARKS = 1 << 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_ORDER = ("n", "doc_id", "line_no", "row")
 
 
-def _plain(text: Column) -> Column:
-    """``text`` with A-Z in lower case and white space other than line ends as spaces.
+def _plain(line: Column) -> Column:
+    """``line`` with A-Z in lower case and words parted by single spaces.
 
     lower() is many times faster than translate() and the same where no other capital letter occurs.
     """
-    low = F.when(text.rlike(r"[\p{IsUppercase}\p{Lt}&&[^\x00-\x7F]]"), F.translate(text, _UPPER, _LOWER)).otherwise(F.lower(text))
-    for space in "\t\x0b\x0c\r":
-        low = F.replace(low, F.lit(space), F.lit(" "))
-    return low
-
-
-def _words(line: Column) -> Column:
-    return F.array_remove(F.split(line, " "), "")
-
-
-def _tokens(lines: DataFrame) -> DataFrame:
-    """``lines`` with column words replaced by tokens: hashes of the distinct shingles, of all words if they are fewer.
-
-    Words are hashed in a projection of their own: inside the lambda they would be hashed again for each shingle.
-    """
-    rest = [c for c in lines.columns if c != "words"]
-    hashed = lines.select(*rest, F.transform("words", lambda w: F.xxhash64(w)).alias("_h"))
-    count = F.greatest(F.size("_h") - F.lit(SHINGLE - 1), F.lit(1))
-    shingles = F.transform(F.arrays_zip(*(F.slice("_h", 1 + k, count) for k in range(SHINGLE))), lambda x: F.xxhash64(x))
-    return hashed.select(*rest, F.array_distinct(shingles).alias("tokens"))
-
-
-def _marks(rows: DataFrame) -> Column:
-    """Whether a row key may be among those of ``rows``: a bitmap of fixed size, one literal, with no false negatives."""
-    at = F.pmod("row", F.lit(MARKS * 64))
-    bits = rows.select(at.alias("b")).distinct().groupBy(F.expr("b div 64").cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(b, 64) AS int)))").alias("m"))
-    words = ["0"] * MARKS
-    for w, m in bits.collect():  # MARKS rows at most
-        words[w] = str(m)
-    table = F.split(F.lit(",".join(words)), ",").cast("array<long>")
-    place = F.pmod(_row_key(), F.lit(MARKS * 64))
-    word = F.get(table, F.floor(place / 64).cast("int"))
-    bit = F.call_function("shiftrightunsigned", word, F.pmod(place, F.lit(64)).cast("int"))
-    return bit.bitwiseAND(F.lit(1).cast("long")) == 1
+    low = F.when(line.rlike(r"[\x{80}-\x{10FFFF}&&[\p{IsUppercase}\p{Lt}]]"), F.translate(line, _UPPER, _LOWER)).otherwise(F.lower(line))
+    return F.when(low.rlike(r"[\t\x0b\x0c\r]|  "), F.regexp_replace(low, r"[\t\x0b\x0c\r ]+", " ")).otherwise(low)
 
 
 def _row_key() -> Column:
@@ -73,27 +43,44 @@ def _row_key() -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, line_no, words) of each line; words is null if they are fewer than MIN_WORDS.
+    """(doc_id, row, line_no, line) of each line; line is null if it has fewer than MIN_WORDS words.
 
-    No filter here nor before tokens are made: Catalyst would push it down and so split each line again to test it.
+    Each step is a projection of its own and the generators are outer ones: else Catalyst would compute a step again for
+    each use, or infer filters from them that split each text twice.
     """
-    at = docs.select("doc_id", _row_key().alias("row"), F.posexplode_outer(F.split(_plain(F.col("text")), "\n")).alias("line_no", "line"))
-    at = at.select("doc_id", "row", "line_no", _words(F.col("line")).alias("words"))
-    return at.select("doc_id", "row", "line_no", F.when(F.size("words") >= MIN_WORDS, F.col("words")).alias("words"))
-
-
-def _line_id(words: Column) -> Column:
-    return F.unhex(F.md5(F.array_join(words, " ")))
+    at = docs.select("doc_id", _row_key().alias("row"), F.split("text", "\n").alias("lines"))
+    at = at.select("doc_id", "row", F.posexplode_outer("lines").alias("line_no", "line"))
+    at = at.select("doc_id", "row", "line_no", _plain(F.col("line")).alias("line")).select("doc_id", "row", "line_no", F.trim("line").alias("line"))
+    enough = F.col("line").rlike(r"\A[^ ]+" + " [^ ]+" * (MIN_WORDS - 1))
+    return at.select("doc_id", "row", "line_no", F.when(enough, F.col("line")).alias("line"))
 
 
-def _short(line: Column) -> Column:
-    return F.xxhash64(line)
+def _ids() -> tuple[Column, Column]:
+    """Two hashes of 64 bits: together they stand for the line, the first alone for itself up to chance."""
+    return F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), F.col("line")).alias("id2")
 
 
 def _order() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("line_no"), F.col("row"))
 
 
+def _shingles(lines: DataFrame) -> DataFrame:
+    """``lines`` with column line replaced by zipped: the words' hashes by shingle, of all words if they are fewer.
+
+    Words are hashed in a projection of their own: inside the lambda they would be hashed again for each shingle.
+    """
+    rest = [c for c in lines.columns if c != "line"]
+    hashed = lines.select(*rest, F.transform(F.split("line", " "), lambda w: F.xxhash64(w)).alias("hashes"))
+    count = F.greatest(F.size("hashes") - F.lit(SHINGLE - 1), F.lit(1))
+    return hashed.select(*rest, F.arrays_zip(*(F.slice("hashes", 1 + k, count).alias(f"w{k}") for k in range(SHINGLE))).alias("zipped"))
+
+
+def _tokens(lines: DataFrame) -> DataFrame:
+    """``lines`` with column line replaced by tokens: hashes of the distinct shingles."""
+    rest = [c for c in lines.columns if c != "line"]
+    return _shingles(lines).select(*rest, F.array_distinct(F.transform("zipped", lambda x: F.xxhash64(x))).alias("tokens"))
+
+
 def _bucket(token: Column) -> Column:
     return token.bitwiseAND(F.lit(COUNTS - 1).cast("long")).cast("int")
 
@@ -103,80 +90,117 @@ def _needed(x: Column, y: Column, t: float) -> Column:
     return F.ceil((x + y) * (t / (1 + t)) - 1e-6)
 
 
-def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, row, gone: array<int>): line numbers to remove, by doc_id and hash of the row's text.
+def _rarity(lines: DataFrame) -> Column:
+    """The logarithm of the count of each bucket of tokens, to the base of 1.19: one literal, as lambdas take no subquery.
 
-    ``docs`` has doc_id and text. See dedup.
+    Here a repeat within a line counts again, which spares an array for each line and changes next to nothing.
     """
-    tokens = _tokens(_lines(docs).select("words")).select(F.explode_outer("tokens").alias("t")).where("t IS NOT NULL")
-    counts = tokens.groupBy(_bucket(F.col("t")).alias("b")).agg(F.count("*").alias("n"))
+    tokens = _shingles(lines.select("line")).select(F.inline_outer("zipped").alias(*(f"w{k}" for k in range(SHINGLE))))
+    tokens = tokens.select(F.xxhash64(*tokens.columns).alias("t"))
+    counts = tokens.groupBy(_bucket(F.col("t")).alias("k")).agg(F.count("*").alias("n"))
     classes = ["0"] * COUNTS
-    for b, c in counts.select("b", F.floor(F.log2(1 + F.col("n"))).cast("int")).collect():  # COUNTS rows at most
-        classes[b] = str(c)
-    # one literal, folded once; as a column, each row would carry a copy of the table
-    rarity = F.split(F.lit(",".join(classes)), ",").cast("array<int>")
-
-    n = F.size("tokens")
-    # the least bits of a hash choose its entry; the others go below the class
-    ranked = F.sort_array(F.transform("tokens", lambda t: F.coalesce(F.shiftleft(F.get(rarity, _bucket(t)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(t, 8)), F.lit(0).cast("long"))))
-    prefix = F.slice("ranked", 1, (F.col("n") - F.ceil(F.col("n") * threshold - 1e-6) + 1).cast("int"))
-    lines = _lines(docs)
-    lines = _tokens(lines.select("doc_id", _short(_line_id(F.col("words"))).alias("line"), "words"))
-    lines = lines.select("doc_id", "line", n.alias("n"), ranked.alias("ranked")).select("doc_id", "line", "n", prefix.alias("prefix"))
-    posts = lines.select("line", "doc_id", "n", F.posexplode_outer("prefix").alias("at", "token"))
-    posts = posts.where("token IS NOT NULL").select("token", "line", F.col("doc_id").alias("doc"), "n", "at")
+    for k, c in counts.select("k", F.least(F.floor(4 * F.log2(1 + F.col("n"))), F.lit(127)).cast("int")).where("k IS NOT NULL").collect():  # COUNTS rows at most
+        classes[k] = str(c)
+    return F.split(F.lit(",".join(classes)), ",").cast("array<long>")
+
+
+def _ranked(tokens: Column, rarity: Column) -> Column:
+    """Tokens in the order of all lines: the least bits of a hash choose its class, the others go below it."""
+    return F.sort_array(F.transform(tokens, lambda t: F.shiftrightunsigned(t, 8).bitwiseOR(F.shiftleft(F.get(rarity, _bucket(t)), 56))))
+
+
+def _prefix(ranked: Column, n: Column, threshold: float) -> Column:
+    """The tokens among which one is shared with any line that is similar enough."""
+    return F.slice(ranked, 1, (n - F.ceil(n * threshold - 1e-6) + 1).cast("int"))
+
+
+def _postings(lines: DataFrame, rarity: Column, threshold: float) -> DataFrame:
+    """(token, id, n, at): the first tokens of each line, of tokens that several lines have among their first ones."""
+    posts = _tokens(lines.select("id", "line")).select("id", F.size("tokens").alias("n"), _ranked(F.col("tokens"), rarity).alias("ranked"))
+    posts = posts.select("id", "n", _prefix(F.col("ranked"), F.col("n"), threshold).alias("prefix"))
+    posts = posts.select("id", "n", F.posexplode_outer("prefix").alias("at", "token"))
     # most tokens are in one line only; what is left is little
     by = Window.partitionBy("token")
-    posts = posts.withColumn("a", F.min("line").over(by)).withColumn("b", F.max("line").over(by)).where("a <> b")
-    least = F.min(F.when(F.col("doc").isNotNull(), F.col("doc")))
-    posts = posts.groupBy("token", "line").agg(least.alias("doc"), F.min("n").alias("n"), F.min("at").alias("at"))
-    first = F.min(F.struct(F.col("doc").isNull().alias("x"), "doc", "line", "n", "at")).over(by)
-    posts = cut(posts.withColumn("many", F.count("*").over(by)).withColumn("first", first))
-
-    def passes(x: Column, x_at: Column, y: Column, y_at: Column) -> Column:
-        most = F.least(x_at, y_at) + 1 + F.least(x - x_at, y - y_at) - 1
-        return (F.least(x, y) >= F.greatest(x, y) * threshold - 1e-6) & (most >= _needed(x, y, threshold))
-
-    near = posts.where((F.col("line") != F.col("first.line")) & passes(F.col("n"), F.col("at"), F.col("first.n"), F.col("first.at")))
-    pairs = near.select(F.least("line", "first.line").alias("a"), F.greatest("line", "first.line").alias("b")).distinct()
-
-    light = _lines(docs).select("doc_id", "row", "line_no", _line_id(F.col("words")).alias("line")).where("line IS NOT NULL")
-    firsts = cut(light.groupBy("line").agg(F.min(_order()).alias("first")).withColumn("short", _short(F.col("line"))))
-    candidates = _candidates(posts.select(F.col("line").alias("short")).distinct(), firsts, docs)
-    later = cut(_later(pairs, candidates, threshold))
-    # lines that no first line settled, against every other line under their tokens
-    done = later.select(_short(F.col("line")).alias("line")).distinct()
-    open_ = posts.where("many > 2 AND line <> first.line").join(done, "line", "left_anti")
-    x, y = open_.alias("x"), posts.alias("y")
-    both = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.line") != F.col("y.line")) & (F.col("y.line") != F.col("x.first.line")) & passes(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at")))
-    rest = both.select(F.least("x.line", "y.line").alias("a"), F.greatest("x.line", "y.line").alias("b")).distinct()
-    later = later.unionByName(_later(rest, candidates, threshold)).distinct()
-
-    decided = firsts.select("line", "first").join(later.select("line", F.lit(True).alias("near")), "line", "left")
-    gone = light.join(decided, "line").where(F.col("near").isNotNull() | (_order() > F.col("first")))
-    return gone.groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("gone"))
-
-
-def _candidates(wanted: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame:
-    """(short, line, first, tokens) of the lines of short hash ``wanted``, read from the text of their first place.
-
-    Of the texts only those that hold such a line are shuffled, as far as the bitmap can tell.
+    return posts.withColumn("many", F.count("*").over(by)).where("many > 1").select("token", "id", "n", "at", "many")
+
+
+def _passes(a: str, b: str, t: float) -> Column:
+    """The length filter, and the positional filter for a token at these places of two lines."""
+    x, y, x_at, y_at = (F.col(f"{k}{c}") for c in ("n", "at") for k in (a, b))
+    most = F.least(x_at, y_at) + F.least(x - x_at, y - y_at)
+    return (F.least(x, y) >= F.greatest(x, y) * t - 1e-6) & (most >= _needed(x, y, t))
+
+
+def _possible(a: str, b: str, t: float) -> Column:
+    """Whether the first tokens of two lines leave room for enough overlap.
+
+    Where those of one line end no later in the order than those of the other, the ones that aren't among the other's
+    first tokens aren't in the other line at all.
     """
-    wanted = wanted.join(firsts, "short").groupBy(F.col("first.doc_id").alias("d"), F.col("first.row").alias("r")).agg(F.collect_list(F.struct("short", "line", "first")).alias("w"))
-    wanted = cut(wanted)
-    texts = docs.where(_marks(wanted.select(F.col("r").alias("row")))).select("doc_id", _row_key().alias("row"), "text")
-    found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r"))).select("w", F.split("text", "\n").alias("lines"))
-    found = found.select(F.explode(F.transform("w", lambda w: F.struct(w["short"].alias("short"), w["line"].alias("line"), w["first"].alias("first"), F.get(F.col("lines"), w["first"]["line_no"]).alias("words")))).alias("w"))
-    return cut(_tokens(found.select("w.short", "w.line", "w.first", _words(_plain(F.col("w.words"))).alias("words"))))
+    p, q, n, m = (F.col(f"{k}{c}") for c in ("prefix", "n") for k in (a, b))
+    rest = F.when(F.element_at(p, -1) <= F.element_at(q, -1), n - F.size(p)).otherwise(m - F.size(q))
+    return F.size(F.array_intersect(p, q)) + rest >= _needed(n, m, t)
+
+
+def _sided(found: DataFrame, *columns: str) -> list[DataFrame]:
+    """``found`` as either side of a pair: columns a, a_<column> ... and b, b_<column> ..."""
+    return [found.select(F.col("id").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in columns)) for k in "ab"]
 
 
 def _later(pairs: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
-    """The later line of each pair of lines (by short hash) whose tokens are similar enough."""
-    a = found.select(F.col("short").alias("a"), F.col("line").alias("a_line"), F.col("first").alias("a_first"), F.col("tokens").alias("a_tokens"))
-    b = found.select(F.col("short").alias("b"), F.col("line").alias("b_line"), F.col("first").alias("b_first"), F.col("tokens").alias("b_tokens"))
+    """(id, id2) of the later line of each pair of lines (a, b: id) whose tokens are similar enough."""
+    a, b = _sided(found, "id2", "first", "tokens")
     both = pairs.join(a, "a").join(b, "b").withColumn("o", F.size(F.array_intersect("a_tokens", "b_tokens")))
-    similar = F.col("o") >= threshold * (F.size("a_tokens") + F.size("b_tokens") - F.col("o")) - 1e-9
-    return both.where(similar).select(F.when(F.col("a_first") < F.col("b_first"), F.col("b_line")).otherwise(F.col("a_line")).alias("line")).distinct()
+    both = both.where(F.col("o") >= threshold * (F.size("a_tokens") + F.size("b_tokens") - F.col("o")) - 1e-9)
+    late = F.when(F.col("a_first") < F.col("b_first"), F.struct(F.col("b").alias("id"), F.col("b_id2").alias("id2"))).otherwise(F.struct(F.col("a").alias("id"), F.col("a_id2").alias("id2")))
+    return both.select(late.alias("x")).select("x.id", "x.id2").distinct()
+
+
+def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, row, gone: array<int>): line numbers to remove, by doc_id and hash of the row's text.
+
+    ``docs`` has doc_id and text. See dedup. The result is a table that ``cut`` made.
+    """
+    at = _lines(docs).select("doc_id", "row", "line_no", "line", *_ids())
+    at = at.groupBy("id", "id2").agg(F.min(F.struct(_order().alias("order"), "line")).alias("x"), F.count("*").alias("times"))
+    distinct = at.select("id", "id2", "times", F.col("x.order").alias("first"), F.col("x.line").alias("line")).where("line IS NOT NULL")
+    lines = cut(distinct)
+    rarity = _rarity(lines)
+    posts = cut(_postings(lines, rarity, threshold))
+    found = lines.where(marks(posts.select("id"), F.col("id"))).join(posts.select("id").distinct(), "id", "left_semi")
+    found = _tokens(found.select("id", "id2", "first", "line")).withColumn("n", F.size("tokens")).withColumn("ranked", _ranked(F.col("tokens"), rarity))
+    found = cut(found.select("id", "id2", "first", "n", "tokens", _prefix(F.col("ranked"), F.col("n"), threshold).alias("prefix")))
+    repeated = cut(lines.where("times > 1").select("id", "id2", "first", F.lit(False).alias("near")))
+    release(lines)
+
+    # the head of a token is its line of the earliest place, which isn't removed because of the others
+    placed = posts.join(found.select("id", "first"), "id")
+    heads = placed.groupBy("token").agg(F.min(F.struct("first", "id", "n", "at")).alias("h"))
+    heads = heads.select("token", F.col("h.id").alias("head"), F.col("h.n").alias("head_n"), F.col("h.at").alias("head_at"))
+    placed = cut(placed.join(heads, "token"))
+    release(posts)
+    near = placed.where((F.col("id") != F.col("head")) & _passes("", "head_", threshold))
+    pairs = near.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
+    a, b = _sided(found, "n", "prefix")
+    pairs = pairs.join(a, "a").join(b, "b").where(_possible("a_", "b_", threshold)).select("a", "b")
+    later = cut(_later(pairs, found, threshold))
+    # lines that no head settled, against the lines before them under their tokens
+    open_ = placed.where("id <> head AND many > 2").join(later.select("id").distinct(), "id", "left_anti")
+    a, b = _sided(found, "prefix")
+    x = open_.select("token", F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("at").alias("a_at"), F.col("first").alias("a_first"), "head").join(a, "a")
+    y = placed.select("token", F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("at").alias("b_at"), F.col("first").alias("b_first")).join(b, "b")
+    both = x.join(y, "token").where((F.col("b_first") < F.col("a_first")) & (F.col("b") != F.col("head")) & _passes("a_", "b_", threshold) & _possible("a_", "b_", threshold))
+    rest = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = cut(_later(rest, found, threshold))
+
+    late = later.unionByName(more).distinct().join(found.select("id", "id2", "first"), ["id", "id2"]).withColumn("near", F.lit(True))
+    decided = cut(repeated.unionByName(late).groupBy("id", "id2").agg(F.min("first").alias("first"), F.max("near").alias("near")))
+    release(found, repeated, placed, later, more)
+    again = _lines(docs).select("doc_id", "row", "line_no", *_ids()).where(marks(decided.select("id"), F.col("id")))
+    gone = again.join(decided, ["id", "id2"]).where(F.col("near") | (_order() > F.col("first")))
+    gone = cut(gone.groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("gone")))
+    release(decided)
+    return gone
 
 
 def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -185,16 +209,18 @@ def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     A line is compared with every earlier line, removed or not. Lines of fewer than MIN_WORDS words stay, as do all
     rows: a text of which nothing is left is empty, a null text stays null. Case is ignored for A-Z. Null ids come
     last. Rows of equal doc_id and text are one document: they keep and lose the same lines. The columns are those of
-    ``docs``, in order; n_chars, if there, is brought up to date.
+    ``docs``, whatever their names, in order; n_chars, if there, is brought up to date. An empty table stays empty.
     """
     from pyspark.sql.types import StringType
 
     own = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast(StringType()).alias("text"))
-    gone = cut(removed_lines(own, threshold).select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), F.col("gone").alias("_gone")))
-    touched = _marks(gone.select(F.col("_r").alias("row")))
-    joined = docs.where(touched).withColumn("_row", _row_key()).join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r")), "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    joined = joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left))
+    d, r, g, key = fresh(docs, "_d", "_r", "_gone", "_row")
+    gone = removed_lines(own, threshold).select(F.col("doc_id").alias(d), F.col("row").alias(r), F.col("gone").alias(g))
+    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id"), F.col("text").cast(StringType())))
+    touched = marks(gone.select(r), F.col(key))
+    joined = keyed.where(touched).join(gone, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(key) == F.col(r)), "left")
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(g, i)), "\n")
+    joined = joined.withColumn("text", F.when(F.col(g).isNull(), F.col("text")).otherwise(left))
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return joined.select(*docs.columns).unionByName(docs.where(~touched))
+        joined = joined.withColumn("n_chars", F.when(F.col(g).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return joined.select(*docs.columns).unionByName(keyed.where(~touched).select(*docs.columns))
