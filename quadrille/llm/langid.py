@@ -85,7 +85,12 @@ class Filter:
 
 
 def train(labelled: DataFrame, max_rows: int = MAX_TRAIN) -> Filter:
-    """A filter from columns text and lang; rows with a null in either, or no letters, teach nothing.
+    """A filter of the trigrams that each language keeps; see kept_grams."""
+    return Filter(kept_grams(labelled, max_rows))
+
+
+def kept_grams(labelled: DataFrame, max_rows: int = MAX_TRAIN) -> dict[str, np.ndarray]:
+    """The hashes of the trigrams that each language keeps, from columns text and lang; rows with a null in either, or no letters, teach nothing.
 
     If there are more than ``max_rows`` rows, a sample of about that many is used, by a hash of the text. Repeated rows
     count each time; of trigrams that are as frequent, those of the least hash are kept. Other columns are ignored.
@@ -113,7 +118,7 @@ def train(labelled: DataFrame, max_rows: int = MAX_TRAIN) -> Filter:
     kept: dict[str, list[int]] = {}
     for r in top.select("lang", "gram").collect():  # KEEP trigrams of each language at most
         kept.setdefault(r[0], []).append(r[1])
-    return Filter({lang: np.array(g, np.int64).view(np.uint64) for lang, g in kept.items()})
+    return {lang: np.array(g, np.int64).view(np.uint64) for lang, g in kept.items()}
 
 
 def _by(column: str):
