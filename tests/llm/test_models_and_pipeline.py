@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quadrille.llm import chat, decontam, langid, mixing, queries, simhash, toxicity
 from test_text_operators import kept_lines, simhash_of, smallest_reachable
@@ -56,8 +57,6 @@ def test_period_is_pfair():
 
 
 def test_mix(make, corpus):
-    from pyspark.sql import functions as F
-
     docs = make(corpus).withColumn("source", F.when(F.col("doc_id") % 7 == 0, None).when(F.col("doc_id") % 3 == 0, "b").otherwise("a")).withColumn("mix_slot", F.lit("x"))
     rows = mixing.mix(docs, {"a": 0.5, "b": 0.3, None: 0.2}, block_rows=2, slots=10).collect()
     assert Counter((r.doc_id, r.text) for r in rows) == Counter(corpus)
@@ -98,7 +97,7 @@ def contaminated_by_alignment(text, items, threshold=decontam.THRESHOLD):
     found = set()
     for i, t in items:
         own = decontam.normal_words(t)
-        if len(own) >= decontam.MIN_WORDS:
+        if own:
             if decontam.align(np.array([known.get(w, -1) for w in own], np.int64), x)[0] / len(own) >= threshold:
                 found.add(i)
     return found
@@ -193,19 +192,27 @@ def test_toxicity_accuracy(spark):
     assert above > 0.85
 
 
-def test_swapped_terms_move_scores_less():
+def test_swapped_terms_move_scores_less(spark):
     rng = np.random.default_rng(0)
-    filler = [f"t{k}" for k in range(40)]
+    filler = [f"t{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(40)]
     rows = []
     for k in range(600):
         bad = k % 2
-        text = set(rng.choice(filler, 6)) | ({"vile"} if bad else {"kind"}) | ({"muslim"} if rng.random() < (0.8 if bad else 0.2) else {"christian"})
-        rows.append((text, bad))
-    move = lambda m: abs(m.score("a muslim neighbour") - m.score("a christian neighbour"))
-    free, held = toxicity.fit(rows, penalty=0.0), toxicity.fit(rows, penalty=20.0)
-    assert move(held) < 0.5 * move(free)
+        group = "muslim" if rng.random() < (0.8 if bad else 0.2) else "christian"
+        rows.append((k, " ".join([*rng.choice(filler, 6), "vile" if bad else "kind", group]), bad))
+    rows += [(None, "vile", 1), (600, None, None), (601, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").withColumn("score", F.lit(1)).withColumn("_text", F.lit(2))
+    labels = docs.select("doc_id", "toxic", "text")
+    labels = labels.unionByName(labels.where("doc_id = 1"))  # a label that is there twice counts once
+    free, held = (toxicity.train(docs.drop("toxic"), labels, penalty=x) for x in (0.0, 20.0))
+    move = lambda m: abs(m.logit("a muslim neighbour") - m.logit("a christian neighbour"))
+    assert move(held) < 0.2 * move(free) and held.moved < 0.2 * free.moved and held.swapped == free.swapped == 600
     assert held.score("vile muslim") > 0.5 > held.score("kind muslim")
-    assert toxicity.fit([]).score("x") == pytest.approx(0, abs=1e-5) and toxicity.fit([({"a"}, 1)]).score(None) > 0.99
+    assert len(set(filler) & set(held.swaps)) > 30  # neutral terms that were found
+    got = toxicity.score(docs, held, "doc_id", "score", "_text").collect()
+    assert {(r.doc_id, round(r.score, 9)) for r in got} == {(i, round(held.score(t), 9)) for i, t, _ in rows} and got[0]["_text"] == 2
+    assert toxicity.score(docs.limit(0), held, "doc_id").count() == 0
+    assert toxicity.train(docs, labels.limit(0)).score("x") == pytest.approx(0, abs=1e-5) and toxicity.train(docs, labels.where("toxic = 1")).score(None) > 0.99
 
 
 @needs_data

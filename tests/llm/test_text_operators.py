@@ -216,7 +216,7 @@ def test_terms_reveal_everywhere(make):
 
 def test_hot_value_has_terms(spark):
     rows = [("hot@x.org", f"c{k}", "quillon") for k in range(6)] + [("hot@x.org", f"c{k}", "common") for k in range(6)] + [(f"v{k}", "c", "common") for k in range(9)]
-    contexts = spark.createDataFrame(rows, "value string, context string, term string")
+    contexts = spark.createDataFrame([("value", *r) for r in rows], "level string, value string, context string, term string")
     docs = spark.createDataFrame([(t,) for _, _, t in rows], "text string")
     got = {(r.value, r.term): r.share for r in pii.revealing(docs, contexts).collect()}
     assert got == {("hot@x.org", "quillon"): 1.0}  # a third and more of all contexts
