@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.llm import decontam, langid, linededup, mixing, simhash
-from quadrille.llm.shared import crc_mod4, cut
+from quadrille.llm.shared import crc_mod4, cut, fresh
 
 #: Documents of which the language's filter holds a smaller share of trigrams are rejected.
 MIN_LANGUAGE = 0.2
@@ -20,8 +20,9 @@ MIN_LANGUAGE = 0.2
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labels teach; those without letters or in none of the languages go."""
     model = langid.train(docs.where(crc_mod4(F.col("doc_id")) != 2))
-    found = langid.identify(docs, model, *docs.columns)
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE)).select(*docs.columns)
+    lang, score = fresh(docs, "lang_pred", "score")
+    found = langid.identify(docs, model, *docs.columns, results=(lang, score))
+    return found.where((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= MIN_LANGUAGE)).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
