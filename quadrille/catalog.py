@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille import Graph, Rule, System, parse_rule, terms
+from quadrille import Graph, Rule, Signed, System, parse_rule, terms
 from quadrille.sources import triplify as t
 from quadrille.sources.graph import Branch, Slot
 
@@ -434,6 +434,52 @@ def lift_statements(spark, d):
     return out.statements(t.name("g")).groupBy("kind", "g").agg(F.count("*").alias("n"))
 
 
+def seeded_rule(spark, d):
+    """A rule whose variable is bound beforehand: the constant reaches the files."""
+    one = t.node("nation", F.lit(7)).term
+    seed = spark.range(1).select(one.alias("v1"))
+    out = rule("for ?c, ?n { ?c ex:c_nationkey ?n . } => { ?c ex:of ?n . }").deduce(graph(customers(spark, d)), seed=seed).df
+    return out.select(_key("s", "customer").alias("c_custkey"))
+
+
+def serde_round_trip(spark, d):
+    """A rule written as JSON and read again."""
+    from quadrille import serde
+
+    out = serde.from_json(serde.to_json(rule(BUILDING))).deduce(graph(orders(spark, d), customers(spark, d))).df
+    return out.select(_key("s", "order").alias("o_orderkey"), _key(_sub(out, 1), "customer").alias("c_custkey"))
+
+
+def pattern_index(spark, d):
+    """The patterns of a system's rules that a fact matches."""
+    system = System([rule(BUILDING), rule("for ?a, ?p { ?a ?p ?a . ! ?a ex:o_custkey ?p . } => { }"), rule(SEGMENT)])
+    x, y = (f"<{EX}{k}>" for k in "xy")
+    facts = [(x, t.name("o_custkey"), y), (x, t.name("o_custkey"), x), (x, t.name("c_mktsegment"), terms.literal("BUILDING"))]
+    found = [(k, r, p) for k, f in enumerate(facts) for sign in (True, False) for r, p in system.paths_for(Signed(sign, f))]
+    return spark.createDataFrame(found, "fact int, rule int, pattern int")
+
+
+def traverse_quads(spark, d):
+    """All quads, signs and graphs included, counted by predicate."""
+    df = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag").distinct()
+    g = graph(labels(spark, d), [t.branch(df, t.node("order", F.col("l_orderkey")), t.name("contains"), t.node("part", F.col("l_partkey")), g=t.node("flag", F.col("l_returnflag")))])
+    named = F.coalesce(F.regexp_extract("p", r"[/#]([A-Za-z_]+)>", 1), F.lit(""))
+    return g.quads.groupBy(named.alias("p"), "positive").agg(F.count("*").alias("n"), F.count("g").alias("n_graph"))
+
+
+def unreadable_graph(spark, d):
+    """A source that fails while a rule is validated is a dataset error, told from one of an expression."""
+    from quadrille.operators.deduce import DatasetError
+
+    broken = t.branch(table(spark, d, "nation"), t.node("nation", F.col("n_nationkey")), t.name("n_name"), F.raise_error(F.lit("lost")).cast("string"))
+    try:
+        rule("for ?n, ?x { ?n ex:n_name ?x . } => { ?n ex:named ?x . }").validate(graph([broken]))
+        out = "valid"
+    except DatasetError:
+        out = "dataset"
+    return spark.createDataFrame([(out,)], "outcome string")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -443,7 +489,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         validate_not_ne, compare_chained, compare_string, compare_value_vs_identity, bool_lexical, bool_or_and, matches_regex, system_validate,
         saturate_regions, join_predicate_subject, several_statements, empty_hypothesis, compare_ne, compare_gt, matches_any_literal,
         matches_pattern_from_data, invalid_regex_term, evaluation_errors, eager_arguments, errors_before_violations, validate_outcomes,
-        user_function, ambiguous_literal, incremental_several_patterns, fresh_generator, causes, lift_statements,
+        user_function, ambiguous_literal, incremental_several_patterns, fresh_generator, causes, lift_statements, seeded_rule, serde_round_trip,
+        pattern_index, traverse_quads, unreadable_graph,
     )
 }
 
@@ -497,6 +544,11 @@ ORACLE_SQL = {
     "user_function": "SELECT c_custkey, lower(c_mktsegment) AS low FROM customer",
     "ambiguous_literal": "SELECT c_custkey, 'AmbiguousLiteral' AS code FROM customer WHERE c_custkey % 10 = 0",
     "incremental_several_patterns": "SELECT c_custkey, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey, (SELECT unnest([1, 2]))",
+    "seeded_rule": "SELECT c_custkey FROM customer WHERE c_nationkey = 7",
+    "serde_round_trip": f"SELECT o_orderkey, c_custkey {_BUILDING}",
+    "pattern_index": "SELECT unnest([0, 0, 1, 1, 1, 2, 2]) AS fact, unnest([0, 1, 0, 1, 1, 0, 2]) AS rule, unnest([0, 1, 0, 0, 1, 1, 0]) AS pattern",
+    "traverse_quads": "SELECT 'quality' AS p, TRUE AS positive, count(*) AS n, CAST(0 AS BIGINT) AS n_graph FROM labels UNION ALL SELECT 'toxic', TRUE, count(*), 0 FROM labels UNION ALL SELECT 'type', TRUE, count(*), 0 FROM labels UNION ALL SELECT 'isToxic', toxic = 1, count(*), 0 FROM labels GROUP BY 2 UNION ALL SELECT 'contains', TRUE, count(*), count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey, l_returnflag FROM lineitem)",
+    "unreadable_graph": "SELECT 'dataset' AS outcome",
     "fresh_generator": "SELECT count(*) AS n_distinct, count(*) AS n_named FROM supplier",
     "causes": f"SELECT 'stated' AS kind, (SELECT 2 * count(*) FROM orders) + (SELECT 3 * count(*) FROM customer) AS n UNION ALL SELECT 'entailed', count(*) {_BUILDING}",
     "lift_statements": f"SELECT unnest(['triple', 'eq', 'true']) AS kind, unnest(['<{EX}g>', '<{EX}g>', NULL]) AS g, (SELECT count(*) FROM supplier) AS n",
