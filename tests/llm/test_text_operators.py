@@ -163,6 +163,9 @@ def test_minhash_fingerprints(make, corpus, monkeypatch):
         sets = [set(minhash.shingle_hashes(x).tolist()) for x in (t, new)]
         assert abs(r.near_edited - len(sets[0] & sets[1]) / len(sets[0] | sets[1])) < 0.25
         assert r.near_next == minhash.likeness(minhash.signature(t), minhash.signature(following))
+        for found, other in ((r.jaccard_edited, new), (r.jaccard_next, following)):
+            x, y = ({" ".join(z.split()[k : k + 5]) for k in range(max(1, len(z.split()) - 4))} for z in (t, other))
+            assert found is None and len(x & y) < 0.6 * len(x | y) or abs(found - len(x & y) / len(x | y)) < 1e-12
 
 
 PATTERNS = {
