@@ -26,7 +26,7 @@ BLOCK_ROWS = 16
 #: Blocks of the schedule at most, but for one more of each source: about a second of the driver's time for a million.
 BLOCKS = 1 << 20
 #: Rows of a part in which rows are numbered, on average.
-PART_ROWS = 50_000
+PART_ROWS = 2_000
 #: Without given weights, a source's weight goes as its number of rows to this power.
 TEMPERATURE = 0.5
 
@@ -102,25 +102,27 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_r
     """
     spark = docs.sparkSession
     names = [c for c in docs.columns if c.lower() not in ("mix_slot", "mix_row")]
-    source, part, key, number, before_, slots_, ts, tp, bs, bp = fresh(docs, "_s", "_p", "_k", "_i", "_before", "_slots", "_ts", "_tp", "_bs", "_bp")
+    source, part, key, number, before_, slots_, ts, tp = fresh(docs, "_s", "_p", "_k", "_i", "_before", "_slots", "_ts", "_tp")
     rows_all = docs.count()
     parts_of = max(1, -(-rows_all // PART_ROWS))
     size = int(block_rows or max(BLOCK_ROWS, -(-rows_all // BLOCKS)))
-    rows = docs.select(*names, F.col("source").cast("string").alias(source), F.xxhash64(F.col("doc_id"), F.col("text").cast("string")).alias(key))
+    # a null source gets a name that no other has, so that one exchange serves the window and the join
+    named = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
+    rows = docs.select(*names, named.alias(source), F.xxhash64(F.col("doc_id"), F.col("text").cast("string")).alias(key))
     # parts are ranges of the hash, so that the order by part and then by hash is that of the hash
     rows = rows.withColumn(part, F.floor((F.col(key) / 2.0**64 + 0.5) * parts_of))
     counts = rows.groupBy(source, part).agg(F.count("*").alias("n"))
-    totals = {r[0]: r[1] for r in counts.groupBy(source).agg(F.sum("n")).collect()}
+    totals = {None if r[0] == "n" else r[0][1:]: r[1] for r in counts.groupBy(source).agg(F.sum("n")).collect()}
     weights = weights or {s: n**TEMPERATURE for s, n in totals.items()}
     made = plan({s: -(-n // size) for s, n in totals.items()}, weights)
-    pieces = [(s, k // slots, x[k : k + slots]) for s, x in made.items() for k in range(0, len(x), slots)]
+    pieces = [("n" if s is None else f"s{s}", k // slots, x[k : k + slots]) for s, x in made.items() for k in range(0, len(x), slots)]
     table = spark.createDataFrame(pieces, f"`{ts}` string, `{tp}` long, `{slots_}` array<long>")
     before = counts.withColumn("b", F.sum("n").over(Window.partitionBy(source).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)))
-    before = before.select(F.col(source).alias(bs), F.col(part).alias(bp), F.coalesce("b", F.lit(0)).alias(before_))
+    before = before.select(source, part, F.coalesce("b", F.lit(0)).alias(before_))
     rows = rows.withColumn(number, F.row_number().over(Window.partitionBy(source, part).orderBy(key, "doc_id", F.col("text").cast("string"))))
-    rows = rows.join(before, F.col(source).eqNullSafe(F.col(bs)) & (F.col(part) == F.col(bp)))
+    rows = rows.join(before, [source, part])
     rows = rows.withColumn(number, F.col(number) + F.col(before_) - 1)
     block = F.floor(F.col(number) / size)
     # at most BLOCKS longs, and a block of each source
-    rows = rows.join(F.broadcast(table), F.col(source).eqNullSafe(F.col(ts)) & (F.floor(block / slots) == F.col(tp)))
+    rows = rows.join(F.broadcast(table), (F.col(source) == F.col(ts)) & (F.floor(block / slots) == F.col(tp)))
     return rows.select(*names, F.get(F.col(slots_), (block % slots).cast("int")).cast("long").alias("mix_slot"), (F.col(number) % size).cast("long").alias("mix_row"))
