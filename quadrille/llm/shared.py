@@ -134,7 +134,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where(v > u).select(v.alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where(v != F.col("m")).select(v.alias("u"), F.col("m").alias("v"))
-        now = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).where(u != v).distinct())
+        old, now = now, cut(small.unionByName(low.select("u", F.col("m").alias("v"))).where(u != v).distinct())
+        release(old)
         after = now.select(mark).first()[0]
         if after == before:
             break

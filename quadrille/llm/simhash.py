@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.shared import connected_components, cut, fresh
+from quadrille.llm.shared import connected_components, cut, fresh, marks, release
 
 #: Bits that linked fingerprints may differ in; the grid is built for this value.
 MAX_BITS = 3
@@ -171,13 +171,19 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Of rows with that id, and of components of null ids only, the row with the least text hash stays. Of rows that
     repeat one stays. The columns are those of ``docs``, whatever their names. An empty table stays empty.
     """
-    i, h, i2, h2 = fresh(docs, "_id", "_hash", "_own_id", "_own_hash")
+    i, h, k, w, i2, h2, k2 = fresh(docs, "_id", "_hash", "_key", "_wins", "_own_id", "_own_hash", "_own_key")
     text = F.xxhash64(F.col("text").cast("string"))
     fps = cut(fingerprints(docs, text.alias("hash")))
+    labelled = _labelled(fps)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("x")
-    found = fps.groupBy("fp").agg(first).join(_labelled(fps), "fp").groupBy("label").agg(F.min("x").alias("x"))
-    found = found.select(F.col("x.doc_id").alias(i), F.col("x.hash").alias(h))
-    keyed = docs.withColumns({i2: F.col("doc_id").cast("long"), h2: text})
-    kept = keyed.join(found, F.col(i2).eqNullSafe(F.col(i)) & (F.col(h2) == F.col(h)), "left_semi")
-    # what is left more than once is the same id and text
-    return kept.dropDuplicates([i2, h2]).select(*docs.columns)
+    best = fps.groupBy("fp").agg(first).join(labelled, "fp").groupBy("label").agg(F.min("x").alias("x"))
+    best = best.select(F.col("x.doc_id").alias("d"), F.col("x.hash").alias("h"), F.lit(True).alias("wins"))
+    rows = fps.groupBy("doc_id", "hash").agg(F.count("*").alias("n"))
+    rows = rows.join(best, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h")), "left").where("wins IS NULL OR n > 1")
+    # what goes, and what stays once of several: all other rows needn't be shuffled
+    few = cut(rows.select(F.col("doc_id").alias(i), F.col("hash").alias(h), F.coalesce("wins", F.lit(False)).alias(w), F.xxhash64("doc_id", "hash").alias(k)))
+    release(fps, labelled)
+    keyed = docs.withColumns({i2: F.col("doc_id").cast("long"), h2: text}).withColumn(k2, F.xxhash64(i2, h2))
+    maybe = marks(few.select(k), F.col(k2))
+    some = keyed.where(maybe).join(few, F.col(i2).eqNullSafe(F.col(i)) & (F.col(h2) == F.col(h)), "left").where(F.coalesce(F.col(w), F.lit(True)))
+    return keyed.where(~maybe).select(*docs.columns).unionByName(some.dropDuplicates([i2, h2]).select(*docs.columns))
