@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quadrille import terms
 from quadrille.functions.expressions import ERROR, Value, any_literal_parts, canonical_decimal, comparable, comparable_parts, compile_expr, fail, first_error, instantiate, no_error, parse_variables
-from quadrille.model import Eq, Reason, Rule, Signed, Triple, True_, Validation, variables_of
+from quadrille.model import Eq, Reason, Res, Rule, Signed, Triple, True_, Validation, variables_of
 from quadrille.plans.match import substitutions
 from quadrille.sources.graph import TRIPLE, Graph
 
@@ -36,13 +36,18 @@ class DatasetError(RuntimeError):
 
 
 class Deductions:
-    """Statements deduced by rules, a lazy DataFrame of COLUMNS; duplicates are kept (a bag)."""
+    """Statements deduced by rules, a lazy DataFrame of COLUMNS; duplicates are kept (a bag).
 
-    def __init__(self, df: DataFrame):
+    ``predicates`` has those of all its triples if the rules name them, else None.
+    """
+
+    def __init__(self, df: DataFrame, predicates: frozenset[str] | None = None):
         self.df = df
+        self.predicates = predicates
 
     def union(self, other: Deductions) -> Deductions:
-        return Deductions(self.df.unionByName(other.df))
+        both = None if self.predicates is None or other.predicates is None else self.predicates | other.predicates
+        return Deductions(self.df.unionByName(other.df), both)
 
     @staticmethod
     def union_all(all_: Iterable[Deductions]) -> Deductions:
@@ -105,7 +110,7 @@ class Deductions:
         """
         df = self.df.where(F.col("error").isNull())
         kept = ["rule_id", "deduction_id", "substitution", "stmt_idx", "positive", "s", "p", "o"]
-        missing = graph.contains(df.where(F.col("kind") == "triple"), anti=True).select(*kept, F.lit("missing_triple").alias("reason"))
+        missing = graph.contains(df.where(F.col("kind") == "triple"), True, self.predicates).select(*kept, F.lit("missing_triple").alias("reason"))
         same = F.col("s") == F.col("o")
         eq = df.where((F.col("kind") == "eq") & (same != F.col("positive")))
         eq = eq.select(*kept, F.when(F.col("positive"), "not_eq").otherwise("not_ne").alias("reason"))
@@ -118,7 +123,7 @@ class Deductions:
 
     def satisfied(self, graph: Graph) -> DataFrame:
         """Deduced triples that ``graph`` holds, with provenance."""
-        return graph.contains(self.df.where((F.col("kind") == "triple") & F.col("error").isNull()))
+        return graph.contains(self.df.where((F.col("kind") == "triple") & F.col("error").isNull()), False, self.predicates)
 
     def validate(self, graph: Graph) -> Validation:
         """Raises if any expression failed; else the least violation by rule, statement and substitution, if any.
@@ -188,9 +193,11 @@ def deduce(rule: Rule, graph: Graph, seed: DataFrame | dict[int, str] | None = N
 
     structs = [_statement(k, s, variable) for k, s in enumerate(rule.conclusion.statements)]
     if not structs:
-        return Deductions(graph.spark.createDataFrame([], SCHEMA))
+        return Deductions(graph.spark.createDataFrame([], SCHEMA), frozenset())
+    heads = [s.value.p for s in rule.conclusion.statements if isinstance(s.value, Triple)]
+    predicates = frozenset(x.term for x in heads) if all(isinstance(x, Res) for x in heads) else None
     out = df.select(F.lit(rule_id).alias("rule_id"), F.sha2(identity, 256).alias("deduction_id"), vector.alias("substitution"), F.inline(F.array(*structs)))
-    return Deductions(out.select(*COLUMNS))
+    return Deductions(out.select(*COLUMNS), predicates)
 
 
 def _in_calls(statement) -> set[int]:

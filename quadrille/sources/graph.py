@@ -207,9 +207,23 @@ class Graph:
         df = self.quads.select(*TRIPLE)
         return df if self.one_graph else df.distinct()
 
-    def contains(self, triples: DataFrame, anti: bool = False) -> DataFrame:
-        """Rows of ``triples`` (with TRIPLE columns) that hold here in some graph; with ``anti``, those that don't."""
-        return triples.join(self.quads.select(*TRIPLE), TRIPLE, "left_anti" if anti else "left_semi")
+    def of_predicates(self, predicates: frozenset[str]) -> Graph:
+        """The part of the graph with these predicates: other branches are left out, or filtered where they have several."""
+        kept = []
+        for b in self.branches:
+            if b.p.constant is None:
+                kept.append(Branch(b.df.where(b.p.term.isin(*sorted(predicates))), b.s, b.p, b.o, b.positive, b.g))
+            elif b.p.constant in predicates:
+                kept.append(b)
+        return Graph(kept or [Branch.of_quads(self.spark.createDataFrame([], SCHEMA))], self.one_graph, self.interpretation)
+
+    def contains(self, triples: DataFrame, anti: bool = False, predicates: frozenset[str] | None = None) -> DataFrame:
+        """Rows of ``triples`` (with TRIPLE columns) that hold here in some graph; with ``anti``, those that don't.
+
+        ``predicates`` may name all that ``triples`` has; then only quads of these are read.
+        """
+        there = self if predicates is None else self.of_predicates(predicates)
+        return triples.join(there.quads.select(*TRIPLE), TRIPLE, "left_anti" if anti else "left_semi")
 
     def has(self, fact: Signed[tuple[str, str, str]]) -> bool:
         s, p, o = fact.value

@@ -263,6 +263,21 @@ def test_constants_are_pushed_to_the_files(spark, tmp_path):
         assert sorted(map(tuple, r.deduce(g).triples().collect())) == sorted(map(tuple, r.deduce(quads).triples().collect()))
 
 
+def test_validation_reads_the_predicates_in_question(spark, tmp_path):
+    from quadrille.sources import triplify as t
+
+    spark.range(3).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    one = lambda p, o: t.branch(df, t.node("n", F.col("id")), t.name(p), o)
+    mixed = Graph.of(spark, [("_:a", iri("p"), "_:b"), ("_:a", iri("q"), "_:b")])
+    g = Graph([one("p", t.node("n", F.col("id"))), one("q", t.node("n", F.col("id") % 2)), one("r", "_:x"), *mixed.branches])
+    r = rule("for ?x, ?y { ?x ex:p ?y . } => { ?x ex:q ?y . }")
+    assert r.deduce(g).predicates == {iri("q")} and r.validate(g).reason.terms == (f"<{t.BASE}n/2>", iri("q"), f"<{t.BASE}n/2>")
+    assert sorted(x["s"] for x in r.deduce(g).satisfied(g).collect()) == [f"<{t.BASE}n/0>", f"<{t.BASE}n/1>", "_:a"]
+    assert {x["p"] for x in g.of_predicates(frozenset({iri("q")})).quads.collect()} == {iri("q")}
+    assert g.of_predicates(frozenset()).quads.isEmpty() and rule("for ?x, ?p, ?y { ?x ?p ?y . } => { ?y ?p ?x . }").deduce(g).predicates is None
+
+
 def test_lifting_and_causes(spark):
     g = Graph.of(spark, [("_:a", iri("p"), "_:b")])
     out = rule("for ?x, ?y { ?x ex:p ?y . } => { ?x ex:q ?y . ?x = ?y . (= ?x ?y) . }").deduce(g)
