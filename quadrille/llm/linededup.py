@@ -14,6 +14,8 @@ comparison is quadratic where many unlike lines share a token among their first
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,13 +31,16 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ORDER = ("n", "doc_id", "line_no", "row")
 
 
-def _plain(line: Column) -> Column:
-    """``line`` with A-Z in lower case and words parted by single spaces.
+def _lower(line: Column) -> Column:
+    """``line`` with A-Z in lower case: as lower() has it, many times faster than translate(), unless other letters change."""
+    other = line.rlike(r"[\x{80}-\x{10FFFF}&&[\p{IsUppercase}\p{Lt}]]")
+    return F.when(F.octet_length(line) == F.length(line), F.lower(line)).when(other, F.translate(line, _UPPER, _LOWER)).otherwise(F.lower(line))
 
-    lower() is many times faster than translate() and the same where no other capital letter occurs.
-    """
-    low = F.when(line.rlike(r"[\x{80}-\x{10FFFF}&&[\p{IsUppercase}\p{Lt}]]"), F.translate(line, _UPPER, _LOWER)).otherwise(F.lower(line))
-    return F.when(low.rlike(r"[\t\x0b\x0c\r]|  "), F.regexp_replace(low, r"[\t\x0b\x0c\r ]+", " ")).otherwise(low)
+
+def _spaced(line: Column) -> Column:
+    """``line`` with words parted by single spaces."""
+    space = reduce(Column.__or__, (F.contains(line, F.lit(x)) for x in ("  ", "\t", "\r", "\x0b", "\x0c")))
+    return F.when(space, F.regexp_replace(line, r"[\t\x0b\x0c\r ]+", " ")).otherwise(line)
 
 
 def _row_key() -> Column:
@@ -50,7 +55,8 @@ def _lines(docs: DataFrame) -> DataFrame:
     """
     at = docs.select("doc_id", _row_key().alias("row"), F.split("text", "\n").alias("lines"))
     at = at.select("doc_id", "row", F.posexplode_outer("lines").alias("line_no", "line"))
-    at = at.select("doc_id", "row", "line_no", _plain(F.col("line")).alias("line")).select("doc_id", "row", "line_no", F.trim("line").alias("line"))
+    for step in (_lower, _spaced, F.trim):
+        at = at.select("doc_id", "row", "line_no", step(F.col("line")).alias("line"))
     enough = F.col("line").rlike(r"\A[^ ]+" + " [^ ]+" * (MIN_WORDS - 1))
     return at.select("doc_id", "row", "line_no", F.when(enough, F.col("line")).alias("line"))
 
@@ -135,10 +141,10 @@ def _possible(a: str, b: str, t: float) -> Column:
     """Whether the first tokens of two lines leave room for enough overlap.
 
     Where those of one line end no later in the order than those of the other, the ones that aren't among the other's
-    first tokens aren't in the other line at all.
+    first tokens aren't in the other line at all. Tokens that are taken for equal by chance only raise the bound.
     """
-    p, q, n, m = (F.col(f"{k}{c}") for c in ("prefix", "n") for k in (a, b))
-    rest = F.when(F.element_at(p, -1) <= F.element_at(q, -1), n - F.size(p)).otherwise(m - F.size(q))
+    p, q, n, m, i, j = (F.col(f"{k}{c}") for c in ("prefix", "n", "last") for k in (a, b))
+    rest = F.when(i <= j, n - F.size(p)).otherwise(m - F.size(q))
     return F.size(F.array_intersect(p, q)) + rest >= _needed(n, m, t)
 
 
@@ -148,12 +154,18 @@ def _sided(found: DataFrame, *columns: str) -> list[DataFrame]:
 
 
 def _later(pairs: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
-    """(id, id2) of the later line of each pair of lines (a, b: id) whose tokens are similar enough."""
-    a, b = _sided(found, "id2", "first", "tokens")
+    """(id, id2) of the later line of each pair of lines (a, b: id) whose tokens are similar enough.
+
+    Of all lines only those of the pairs are shuffled with their tokens, as far as the bitmap can tell.
+    """
+    pairs = cut(pairs)
+    a, b = _sided(found.where(marks(pairs.select(F.explode(F.array("a", "b")).alias("id")), F.col("id"))), "id2", "first", "tokens")
     both = pairs.join(a, "a").join(b, "b").withColumn("o", F.size(F.array_intersect("a_tokens", "b_tokens")))
     both = both.where(F.col("o") >= threshold * (F.size("a_tokens") + F.size("b_tokens") - F.col("o")) - 1e-9)
     late = F.when(F.col("a_first") < F.col("b_first"), F.struct(F.col("b").alias("id"), F.col("b_id2").alias("id2"))).otherwise(F.struct(F.col("a").alias("id"), F.col("a_id2").alias("id2")))
-    return both.select(late.alias("x")).select("x.id", "x.id2").distinct()
+    later = cut(both.select(late.alias("x")).select("x.id", "x.id2").distinct())
+    release(pairs)
+    return later
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -169,7 +181,9 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     posts = cut(_postings(lines, rarity, threshold))
     found = lines.where(marks(posts.select("id"), F.col("id"))).join(posts.select("id").distinct(), "id", "left_semi")
     found = _tokens(found.select("id", "id2", "first", "line")).withColumn("n", F.size("tokens")).withColumn("ranked", _ranked(F.col("tokens"), rarity))
-    found = cut(found.select("id", "id2", "first", "n", "tokens", _prefix(F.col("ranked"), F.col("n"), threshold).alias("prefix")))
+    found = found.withColumn("ranked", _prefix(F.col("ranked"), F.col("n"), threshold)).withColumn("last", F.element_at("ranked", -1))
+    short = F.transform("ranked", lambda t: F.shiftright(F.shiftleft(t, 32), 32).cast("int"))
+    found = cut(found.select("id", "id2", "first", "n", "tokens", "last", short.alias("prefix")))
     repeated = cut(lines.where("times > 1").select("id", "id2", "first", F.lit(False).alias("near")))
     release(lines)
 
@@ -181,22 +195,25 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     release(posts)
     near = placed.where((F.col("id") != F.col("head")) & _passes("", "head_", threshold))
     pairs = near.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
-    a, b = _sided(found, "n", "prefix")
+    a, b = _sided(found, "n", "prefix", "last")
     pairs = pairs.join(a, "a").join(b, "b").where(_possible("a_", "b_", threshold)).select("a", "b")
-    later = cut(_later(pairs, found, threshold))
+    later = _later(pairs, found, threshold)
     # lines that no head settled, against the lines before them under their tokens
     open_ = placed.where("id <> head AND many > 2").join(later.select("id").distinct(), "id", "left_anti")
-    a, b = _sided(found, "prefix")
+    a, b = _sided(found, "prefix", "last")
     x = open_.select("token", F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("at").alias("a_at"), F.col("first").alias("a_first"), "head").join(a, "a")
     y = placed.select("token", F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("at").alias("b_at"), F.col("first").alias("b_first")).join(b, "b")
     both = x.join(y, "token").where((F.col("b_first") < F.col("a_first")) & (F.col("b") != F.col("head")) & _passes("a_", "b_", threshold) & _possible("a_", "b_", threshold))
     rest = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = cut(_later(rest, found, threshold))
+    more = _later(rest, found, threshold)
 
     late = later.unionByName(more).distinct().join(found.select("id", "id2", "first"), ["id", "id2"]).withColumn("near", F.lit(True))
     decided = cut(repeated.unionByName(late).groupBy("id", "id2").agg(F.min("first").alias("first"), F.max("near").alias("near")))
     release(found, repeated, placed, later, more)
-    again = _lines(docs).select("doc_id", "row", "line_no", *_ids()).where(marks(decided.select("id"), F.col("id")))
+    # a plain filter would be pushed down to where the line is made, and make it again for each use
+    again = _lines(docs).select("doc_id", "row", "line_no", *_ids())
+    again = again.select("doc_id", "row", F.explode_outer(F.when(marks(decided.select("id"), F.col("id")), F.array(F.struct("line_no", "id", "id2")))).alias("x"))
+    again = again.where("x IS NOT NULL").select("doc_id", "row", "x.*")
     gone = again.join(decided, ["id", "id2"]).where(F.col("near") | (_order() > F.col("first")))
     gone = cut(gone.groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("gone")))
     release(decided)
