@@ -94,7 +94,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_r
 
     ``weights`` must be positive and name every source (null is a source of its own); by default they go as the
     number of rows to the power TEMPERATURE. ``block_rows`` follows from the number of rows if it isn't given. Within a
-    source, rows are in order of a hash of doc_id and text, then of both; rows that repeat take places in a row. Columns
+    source, rows are in order of the md5 of doc_id, a colon and the text, then of both; rows that repeat take places in a row. Columns
     with the names of the results are replaced, others may have any name. An empty table stays empty.
 
     The numbers within a source come from counts by (source, part), so a source of any size is numbered in parallel.
@@ -108,9 +108,10 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_r
     size = int(block_rows or max(BLOCK_ROWS, -(-rows_all // BLOCKS)))
     # a null source gets a name that no other has, so that one exchange serves the window and the join
     named = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
-    rows = docs.select(*names, named.alias(source), F.xxhash64(F.col("doc_id"), F.col("text").cast("string")).alias(key))
+    told = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows = docs.select(*names, named.alias(source), F.md5(told.cast("binary")).alias(key))
     # parts are ranges of the hash, so that the order by part and then by hash is that of the hash
-    rows = rows.withColumn(part, F.floor((F.col(key) / 2.0**64 + 0.5) * parts_of))
+    rows = rows.withColumn(part, F.floor(F.conv(F.substring(key, 1, 12), 16, 10).cast("long") / 2.0**48 * parts_of))
     counts = rows.groupBy(source, part).agg(F.count("*").alias("n"))
     totals = {None if r[0] == "n" else r[0][1:]: r[1] for r in counts.groupBy(source).agg(F.sum("n")).collect()}
     weights = weights or {s: n**TEMPERATURE for s, n in totals.items()}

@@ -103,6 +103,30 @@ SELECT conv_id, count(*) AS n_turns,
 FROM t GROUP BY conv_id
 """
 
+_OP3 = """
+WITH RECURSIVE
+src AS (SELECT coalesce('s' || source, 'n') AS s, count(*) AS n FROM documents GROUP BY 1),
+fix AS (SELECT list(s ORDER BY s) AS s, list(CAST((n + 15) // 16 AS BIGINT) ORDER BY s) AS blocks, list(sqrt(n) ORDER BY s) AS w FROM src),
+-- slot is that of the last block, which source chosen got; done counts the blocks of a phase, t its slots
+step AS (
+  SELECT CAST(-1 AS BIGINT) AS slot, CAST(0 AS BIGINT) AS chosen, CAST(0 AS BIGINT) AS t, list_transform(blocks, lambda x: CAST(0 AS BIGINT)) AS done, blocks AS rest FROM fix WHERE len(blocks) > 0
+  UNION ALL
+  SELECT slot + 1, c, CASE WHEN done[c] + 1 = rest[c] THEN 0 ELSE t + 1 END,
+    CASE WHEN done[c] + 1 = rest[c] THEN list_transform(done, lambda x: CAST(0 AS BIGINT)) ELSE list_transform(done, lambda x, i: CASE WHEN i = c THEN x + 1 ELSE x END) END,
+    CASE WHEN done[c] + 1 = rest[c] THEN list_transform(rest, lambda x, i: x - done[i] - CASE WHEN i = c THEN 1 ELSE 0 END) ELSE rest END
+  FROM (
+    SELECT *, list_sort(list_transform(
+      list_filter(range(1, len(w) + 1), lambda i: rest[i] > 0 AND floor(done[i] * total / w[i]) <= t), lambda i: struct_pack(d := ceil((done[i] + 1) * total / w[i]), i := i)
+    ))[1].i AS c
+    FROM (SELECT step.*, fix.w, list_sum(list_transform(fix.w, lambda x, i: CASE WHEN rest[i] > 0 THEN x ELSE 0 END)) AS total FROM step, fix WHERE list_max(rest) > 0)
+  )
+),
+made AS (SELECT fix.s[chosen] AS s, slot, row_number() OVER (PARTITION BY chosen ORDER BY slot) - 1 AS block FROM step, fix WHERE slot >= 0),
+told AS (SELECT doc_id, source, text, coalesce('s' || source, 'n') AS s, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS k FROM documents),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY k, doc_id NULLS FIRST, text NULLS FIRST) - 1 AS i FROM told)
+SELECT doc_id, source, slot AS mix_slot, CAST(i % 16 AS BIGINT) AS mix_row FROM numbered JOIN made ON numbered.s = made.s AND numbered.i // 16 = made.block
+"""
+
 _OP4 = r"""
 WITH src AS (SELECT doc_id, text, row_number() OVER () AS rid FROM documents),
 raw AS (SELECT rid, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM src),
@@ -155,4 +179,4 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 FROM src LEFT JOIN kept USING (rid)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_chat_format": _OP1, "op4_line_dedup": _OP4, "op5_substring_dedup": _OP5}
+ORACLE_SQL: dict[str, str] = {"op1_chat_format": _OP1, "op3_mix": _OP3, "op4_line_dedup": _OP4, "op5_substring_dedup": _OP5}
