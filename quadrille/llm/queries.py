@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm import chat, decontam, langid, linededup, minhash, mixing, pii, simhash, substring, toxicity
+from quadrille.llm import chat, decontam, langid, linededup, minhash, mixing, pii, simhash, simhash_sql, substring, toxicity
 from quadrille.llm.shared import crc_mod4
 
 
@@ -179,4 +179,4 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 FROM src LEFT JOIN kept USING (rid)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_chat_format": _OP1, "op3_mix": _OP3, "op4_line_dedup": _OP4, "op5_substring_dedup": _OP5}
+ORACLE_SQL: dict[str, str] = {"op1_chat_format": _OP1, "op2_simhash": simhash_sql.OP2, "op3_mix": _OP3, "op4_line_dedup": _OP4, "op5_substring_dedup": _OP5}
