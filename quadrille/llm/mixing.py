@@ -94,7 +94,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_r
 
     ``weights`` must be positive and name every source (null is a source of its own); by default they go as the
     number of rows to the power TEMPERATURE. ``block_rows`` follows from the number of rows if it isn't given. Within a
-    source, rows are in order of the md5 of doc_id, a colon and the text, then of both; rows that repeat take places in a row. Columns
+    source, rows are in order of the md5 of doc_id, a colon and the text, so that the text itself need not be shuffled; rows that repeat take places in a row. Columns
     with the names of the results are replaced, others may have any name. An empty table stays empty.
 
     The numbers within a source come from counts by (source, part), so a source of any size is numbered in parallel.
@@ -102,14 +102,14 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_r
     """
     spark = docs.sparkSession
     names = [c for c in docs.columns if c.lower() not in ("mix_slot", "mix_row")]
-    source, part, key, number, before_, slots_, ts, tp = fresh(docs, "_s", "_p", "_k", "_i", "_before", "_slots", "_ts", "_tp")
+    source, part, key, number, before_, slots_, ts, tp, there = fresh(docs, "_s", "_p", "_k", "_i", "_before", "_slots", "_ts", "_tp", "_there")
     rows_all = docs.count()
     parts_of = max(1, -(-rows_all // PART_ROWS))
     size = int(block_rows or max(BLOCK_ROWS, -(-rows_all // BLOCKS)))
     # a null source gets a name that no other has, so that one exchange serves the window and the join
     named = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
     told = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    rows = docs.select(*names, named.alias(source), F.md5(told.cast("binary")).alias(key))
+    rows = docs.select(*names, named.alias(source), F.md5(told.cast("binary")).alias(key), F.col("text").isNotNull().alias(there))
     # parts are ranges of the hash, so that the order by part and then by hash is that of the hash
     rows = rows.withColumn(part, F.floor(F.conv(F.substring(key, 1, 12), 16, 10).cast("long") / 2.0**48 * parts_of))
     counts = rows.groupBy(source, part).agg(F.count("*").alias("n"))
@@ -120,7 +120,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_r
     table = spark.createDataFrame(pieces, f"`{ts}` string, `{tp}` long, `{slots_}` array<long>")
     before = counts.withColumn("b", F.sum("n").over(Window.partitionBy(source).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)))
     before = before.select(source, part, F.coalesce("b", F.lit(0)).alias(before_))
-    rows = rows.withColumn(number, F.row_number().over(Window.partitionBy(source, part).orderBy(key, "doc_id", F.col("text").cast("string"))))
+    rows = rows.withColumn(number, F.row_number().over(Window.partitionBy(source, part).orderBy(key, "doc_id", there)))
     rows = rows.join(before, [source, part])
     rows = rows.withColumn(number, F.col(number) + F.col(before_) - 1)
     block = F.floor(F.col(number) / size)
