@@ -8,8 +8,9 @@ filter). What passes is verified on all tokens. The line that comes later, by do
 Equal lines become one line before anything else, with partial aggregation, so a line in any number of documents is one
 row of all that follows, and its text need not be looked up again. Lines under a token are first compared
 with the token's head, which settles most of a large group; a line that this leaves undecided is compared with the
-others under the token that come before it, by their first tokens alone, and what these don't exclude is verified. That
-comparison is quadratic where many unlike lines share a token among their first ones, though what it emits isn't.
+others under the token that come before it, by their first tokens alone, and only if the token may be the first one that
+they share; what these don't exclude is verified. That comparison is quadratic where many unlike lines share a token
+among their first ones, and so is what it emits where such lines share nearly enough tokens.
 """
 
 from __future__ import annotations
@@ -137,6 +138,16 @@ def _passes(a: str, b: str, t: float) -> Column:
     return (F.least(x, y) >= F.greatest(x, y) * t - 1e-6) & (most >= _needed(x, y, t))
 
 
+def _leading(a: str, b: str, t: float) -> Column:
+    """Whether a token at these places of two lines may be the first one that they share, and they similar enough.
+
+    What two lines share then lies at or after its place in both. Similar lines pass at the first token that they share,
+    which is among the first ones of both, so that nothing is lost by not meeting at a later one.
+    """
+    x, y, x_at, y_at = (F.col(f"{k}{c}") for c in ("n", "at") for k in (a, b))
+    return (F.least(x, y) >= F.greatest(x, y) * t - 1e-6) & (F.least(x - x_at, y - y_at) >= _needed(x, y, t))
+
+
 def _possible(a: str, b: str, t: float) -> Column:
     """Whether the first tokens of two lines leave room for enough overlap.
 
@@ -168,6 +179,14 @@ def _later(pairs: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
     return later
 
 
+def _before(open_: DataFrame, placed: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of a line of ``open_`` (a) and one before it (b) that is in ``placed`` under the same token, but not its head."""
+    a, b = _sided(found, "prefix", "last")
+    x = open_.select("token", F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("at").alias("a_at"), F.col("first").alias("a_first"), "head").join(a, "a")
+    y = placed.select("token", F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("at").alias("b_at"), F.col("first").alias("b_first")).join(b, "b")
+    return x.join(y, "token").where((F.col("b_first") < F.col("a_first")) & (F.col("b") != F.col("head")) & _leading("a_", "b_", threshold) & _possible("a_", "b_", threshold))
+
+
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, row, gone: array<int>): line numbers to remove, by doc_id and hash of the row's text.
 
@@ -200,11 +219,7 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     later = _later(pairs, found, threshold)
     # lines that no head settled, against the lines before them under their tokens
     open_ = placed.where("id <> head AND many > 2").join(later.select("id").distinct(), "id", "left_anti")
-    a, b = _sided(found, "prefix", "last")
-    x = open_.select("token", F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("at").alias("a_at"), F.col("first").alias("a_first"), "head").join(a, "a")
-    y = placed.select("token", F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("at").alias("b_at"), F.col("first").alias("b_first")).join(b, "b")
-    both = x.join(y, "token").where((F.col("b_first") < F.col("a_first")) & (F.col("b") != F.col("head")) & _passes("a_", "b_", threshold) & _possible("a_", "b_", threshold))
-    rest = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = _before(open_, placed, found, threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = _later(rest, found, threshold)
 
     late = later.unionByName(more).distinct().join(found.select("id", "id2", "first"), ["id", "id2"]).withColumn("near", F.lit(True))

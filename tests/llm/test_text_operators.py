@@ -147,6 +147,29 @@ def test_substring_dedup(make, corpus):
             substring.BLOCK_BYTES = cut[blocks]
 
 
+def test_edited_lines_that_share_first_tokens(make):
+    rng = random.Random(11)
+    base = [f"b{k}" for k in range(70)]
+    rows = []
+    for k in range(60):
+        words = list(base)
+        for at in rng.sample(range(70), k % 4):
+            words[at] = f"x{k}q{at}"
+        rows.append((k, " ".join(words)))
+    got = {r.doc_id: r.text for r in linededup.dedup(make(rows)).collect()}
+    sets = [{" ".join(w[k : k + 5]) for k in range(66)} for w in (t.split() for _, t in rows)]
+    gone = {k for k in range(60) if any(len(sets[k] & s) >= 0.8 * len(sets[k] | s) - 1e-9 for s in sets[:k])}
+    assert {i for i, t in got.items() if t == ""} == gone and 0 < len(gone) < 60
+
+
+def test_lines_meet_only_where_enough_can_follow(spark):
+    """Two lines of 20 tokens need 18 in common, so the first one that they share is at place 2 at most."""
+    placed = spark.createDataFrame([(t, k, 20, t, 9, k) for k in (1, 2) for t in range(5)], "token long, id long, n int, at int, head long, first int")
+    found = spark.createDataFrame([(k, list(range(5)), 4) for k in (1, 2)], "id long, prefix array<int>, last long")
+    both = linededup._before(placed.where("id = 2"), placed, found, 0.8).collect()
+    assert sorted((r.a, r.b, r.token) for r in both) == [(2, 1, 0), (2, 1, 1), (2, 1, 2)]
+
+
 def test_minhash_fingerprints(make, corpus, monkeypatch):
     rows = [r for r in corpus if r[0] is not None]
     rows = sorted(set(rows), key=lambda r: -r[0])
