@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.llm.shared import BLOCK_BYTES, connected_components, cut, marks, release, text_bytes
@@ -26,6 +26,8 @@ THRESHOLD = 0.8
 ROWS = 4
 #: How far below the threshold the estimate of a similar pair may lie: seven standard errors.
 LEAST = 0.25
+#: Texts of a band that are compared with each other; larger bands go through _crowded, which finds the same links.
+CROWD = 32
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _MUL = _rng.integers(1, 2**63, LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -196,8 +198,8 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     Documents of equal text are one class from the start. Each band of ROWS lanes is a key; a band's texts are compared
     with its head, the text of the least hash, and those of them that are in another class than the head after that,
-    with the band's other texts of other classes: that is quadratic where many texts share a band and are like neither
-    its head nor each other, which is why the registered query, whose growth is held against its input, leaves it out. A pair is verified on its shingle sets unless its signatures agree in
+    with the band's other texts of other classes. Where a band has more than CROWD texts, an exact join of their shingle
+    sets takes the place of the second step. A pair is verified on its shingle sets unless its signatures agree in
     so few lanes (LEAST) that it can't be similar but for a chance below 1e-10. Two texts at the threshold share no band
     with a chance of (1 - 0.8 ** ROWS) ** (LANES / ROWS), 5e-8. class_id is the least doc_id of the class. Null texts
     count as empty; a class of null ids only has class_id null. Repeated rows each get a row. Other columns are
@@ -212,9 +214,9 @@ def _classes(made: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     least_of = F.min("doc_id").alias("low")
     texts = cut(made.groupBy("key").agg(least_of, F.first("lanes").alias("lanes")))
     bands = F.array(*(F.xxhash64(F.lit(k), F.substring("lanes", 2 * k + 1, 2 * ROWS)) for k in range(0, LANES, ROWS)))
-    posts = texts.select("key", F.explode(bands).alias("band"))
-    heads = posts.groupBy("band").agg(F.min("key").alias("head"), F.max("key").alias("last")).where("head < last").select("band", "head")
-    posts = cut(posts.join(heads, "band"))
+    by = Window.partitionBy("band")
+    posts = texts.select("key", F.explode(bands).alias("band")).withColumn("many", F.count("*").over(by)).withColumn("head", F.min("key").over(by))
+    posts = cut(posts.where("many > 1"))
     signs = texts.select("key", "lanes").join(posts.select("key").distinct(), "key", "left_semi")
     pairs = posts.where("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b")).distinct()
     good = cut(_verified(pairs, signs, docs, threshold))
@@ -222,10 +224,14 @@ def _classes(made: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     # what is in another class than its head, with all in the band that are in another class than it
     named = posts.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     named = named.join(label.select(F.col("node").alias("head"), F.col("label").alias("of_head")), "head", "left")
-    named = cut(named.select("band", "key", "label", F.coalesce("of_head", "head").alias("of_head")))
-    x, y = named.where("label <> of_head").alias("x"), named.alias("y")
+    named = cut(named.select("band", "key", "label", "many", F.coalesce("of_head", "head").alias("of_head")))
+    few = named.where(F.col("many") <= CROWD)
+    x, y = few.where("label <> of_head").alias("x"), few.alias("y")
     both = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.label") != F.col("y.label")))
-    rest = both.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct().join(good, ["a", "b"], "left_anti")
+    rest = both.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"))
+    many = named.where(F.col("many") > CROWD)
+    crowd = many.join(many.where("label <> of_head").select("band").distinct(), "band", "left_semi").select("key", "label").distinct()
+    rest = rest.unionByName(_crowded(crowd, docs, threshold)).distinct().join(good, ["a", "b"], "left_anti")
     more = cut(good.unionByName(_verified(rest, signs, docs, threshold)))
     label = connected_components(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
     sets = cut(texts.select("key", "low").join(label.withColumnRenamed("node", "key"), "key", "left").select("key", "low", F.coalesce("label", "key").alias("label")))
@@ -233,6 +239,43 @@ def _classes(made: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     return sets.join(sets.groupBy("label").agg(F.min("low").alias("class_id")), "label").select("key", "class_id")
 
 
+def _texts(keys: DataFrame, docs: DataFrame) -> DataFrame:
+    """(key, text) of the texts whose hashes are the one column of the table ``keys``."""
+    own = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select(F.xxhash64("text").alias("key"), "text")
+    return own.where(marks(keys, F.col("key"))).join(keys, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
+
+
+def _crowded(crowd: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of texts of ``crowd`` (key, label) with different labels, among them all that are similar enough.
+
+    An exact set-similarity join: all texts order their shingles alike, rarest first. Similar texts of x and y shingles
+    share at least t / (1 + t) * (x + y) of them, all at or after the place of the first shared one in either text. So
+    that one is among the first of both, and only pairs that meet where enough can follow remain.
+    """
+
+    @F.pandas_udf("array<long>")
+    def shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t)).view(np.int64) for t in texts])
+
+    crowd = cut(crowd)
+    sets = cut(_texts(crowd.select("key"), docs).select("key", shingles("text").alias("tokens")))
+    tokens = sets.select("key", F.explode("tokens").alias("token"))
+    tokens = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("c")), "token")
+    ranked = tokens.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("ranked")).withColumn("n", F.size("ranked"))
+    first = F.slice("ranked", 1, (F.col("n") - F.ceil(F.col("n") * threshold - 1e-6) + 1).cast("int"))
+    posts = ranked.select("key", "n", F.posexplode(first).alias("at", "of")).where("of.c > 1").select("key", "n", "at", F.col("of.token").alias("token"))
+    posts = cut(posts.join(crowd, "key"))
+    share = threshold / (1 + threshold)
+    x, y = posts.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * (2 * share) - 1e-6)).alias("x"), posts.alias("y")
+    n, m = F.col("x.n"), F.col("y.n")
+    shorter = (n < m) | ((n == m) & (F.col("x.key") < F.col("y.key")))
+    enough = (n >= m * threshold - 1e-6) & (F.least(n - F.col("x.at"), m - F.col("y.at")) >= F.ceil((n + m) * share - 1e-6))
+    both = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.label") != F.col("y.label")) & shorter & enough)
+    pairs = cut(both.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct())
+    release(crowd, sets, posts)
+    return pairs
+
+
 def _verified(pairs: DataFrame, signs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of ``pairs`` whose texts are similar enough."""
 
@@ -247,7 +290,6 @@ def _verified(pairs: DataFrame, signs: DataFrame, docs: DataFrame, threshold: fl
     left, right = (signs.select(F.col("key").alias(k), F.col("lanes").alias(f"{k}_lanes")) for k in "ab")
     likely = cut(pairs.join(left, "a").join(right, "b").where(alike("a_lanes", "b_lanes") >= threshold - LEAST).select("a", "b"))
     wanted = cut(likely.select(F.explode(F.array("a", "b")).alias("key")).distinct())
-    own = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select(F.xxhash64("text").alias("key"), "text")
-    texts = own.where(marks(wanted, F.col("key"))).join(wanted, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
+    texts = _texts(wanted, docs)
     left, right = (texts.select(F.col("key").alias(k), F.col("text").alias(f"{k}_text")) for k in "ab")
     return likely.join(left, "a").join(right, "b").where(exact("a_text", "b_text") >= threshold).select("a", "b")

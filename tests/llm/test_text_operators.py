@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 import xxhash
 
-from quadrille.llm import linededup, minhash, pii, simhash, substring
+from quadrille.llm import linededup, minhash, pii, queries, simhash, substring
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = r"[^\x20\x09-\x0D]+"
@@ -265,3 +265,22 @@ def test_near_classes(make, corpus):
     got = minhash.near_classes(make(rows)).collect()
     same = sum(r.class_id == low[dict(rows)[r.doc_id] or ""] for r in got)
     assert len(got) == len(rows) and same >= 0.95 * len(rows)
+
+
+@pytest.mark.parametrize("crowd", [2, 32])
+def test_registered_minhash_query_has_the_classes(spark, make, corpus, tmp_path, monkeypatch, crowd):
+    """Also where bands hold more texts than are compared with each other: edited forms of one text, in chains of links."""
+    rng = random.Random(17)
+    words, rows = [f"c{k}" for k in range(90)], [(i, t) for i, t in corpus if i is not None]
+    for k in range(50):
+        edited = list(words)
+        for at in rng.sample(range(90), rng.randrange(6)):
+            edited[at] = f"e{k}"
+        rows.append((200 + k, " ".join(edited)))
+    monkeypatch.setattr(minhash, "CROWD", crowd)
+    make(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op6(spark, str(tmp_path)).collect()
+    sets = {t or "": {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for _, t in rows for w in [(t or "").split()]}
+    low = smallest_reachable([(i, t or "") for i, t in rows], lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert len(got) == len(rows) and all(r.class_id == low[dict(rows)[r.doc_id] or ""] for r in got)
+    assert len({r.class_id for r in got if r.doc_id >= 200}) > 1
