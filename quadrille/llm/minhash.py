@@ -197,7 +197,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id): near-duplicate classes by banded signatures with verified Jaccard similarity.
 
     Documents of equal text are one class from the start. Each band of ROWS lanes is a key; a band's texts are compared
-    with its head, the text of the least hash, and those of them that are in another class than the head after that,
+    with its head, the text that shares most bands, and those of them that are in another class than the head after that,
     with the band's other texts of other classes. Where a band has more than CROWD texts, an exact join of their shingle
     sets takes the place of the second step. A pair is verified on its shingle sets unless its signatures agree in
     so few lanes (LEAST) that it can't be similar but for a chance below 1e-10. Two texts at the threshold share no band
@@ -215,8 +215,13 @@ def _classes(made: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     texts = cut(made.groupBy("key").agg(least_of, F.first("lanes").alias("lanes")))
     bands = F.array(*(F.xxhash64(F.lit(k), F.substring("lanes", 2 * k + 1, 2 * ROWS)) for k in range(0, LANES, ROWS)))
     by = Window.partitionBy("band")
-    posts = texts.select("key", F.explode(bands).alias("band")).withColumn("many", F.count("*").over(by)).withColumn("head", F.min("key").over(by))
-    posts = cut(posts.where("many > 1"))
+    posts = texts.select("key", F.explode(bands).alias("band")).withColumn("many", F.count("*").over(by)).where("many > 1")
+    shared = cut(posts)
+    # the head is the text that shares most bands with others, as an unedited one does with its edited forms
+    weighed = shared.join(shared.groupBy("key").agg(F.sum("many").alias("weight")), "key")
+    heads = weighed.groupBy("band").agg(F.max(F.struct("weight", "key")).alias("h")).select("band", F.col("h.key").alias("head"))
+    posts = cut(shared.join(heads, "band"))
+    release(shared)
     signs = texts.select("key", "lanes").join(posts.select("key").distinct(), "key", "left_semi")
     pairs = posts.where("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b")).distinct()
     good = cut(_verified(pairs, signs, docs, threshold))
