@@ -170,6 +170,33 @@ def test_lines_meet_only_where_enough_can_follow(spark):
     assert sorted((r.a, r.b, r.token) for r in both) == [(2, 1, 0), (2, 1, 1), (2, 1, 2)]
 
 
+def test_lines_without_a_like_are_left_out(spark, make):
+    """Of lines of 3 to 120 words, with few or many different ones, all that have a similar one are compared, and no lone ones."""
+    rng, texts = random.Random(23), set()
+    for k in range(400):
+        some = rng.choice([[f"v{j}" for j in range(4000)], [f"v{j}" for j in range(4000)], ["a", "b", "c"], ["x"]])
+        words = [rng.choice(some) for _ in range(rng.choice([3, 4, 5, 6, 7, 8, 9, 12, 30, 60, 120]))]
+        for _ in range(rng.randint(0, 2)):
+            texts.add(" ".join(words))
+            words = list(words)
+            words[rng.choice([0, -1, rng.randrange(len(words))])] = rng.choice(["a", "x", "other"])
+            words += rng.choice([[], words[:1]])
+        texts.add(" ".join(words))
+    lone = {" ".join(f"{rng.choice('abc')}{k} w{j} the" for j in rng.sample(range(500), 12)) for k in range(100)}
+    texts = sorted(texts | lone)
+    lines = spark.createDataFrame(list(enumerate(texts)), "id long, line string")
+    sets = [{tuple(w[a : a + 5]) for a in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    for threshold in (0.8, 0.5, 1.0):
+        like = {k for k, x in enumerate(sets) if any(j != k and len(x & y) >= threshold * len(x | y) - 1e-9 for j, y in enumerate(sets))}
+        for common in ([], linededup._common(lines)):
+            got = {r.id for r in linededup._candidates(lines, common, threshold).collect()}
+            assert like <= got, threshold
+            assert not lone & {texts[k] for k in got}, threshold
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    assert counted(linededup.dedup(make(rows)), "doc_id", "text") == kept_lines(rows)
+
+
 def test_minhash_fingerprints(make, corpus, monkeypatch):
     rows = [r for r in corpus if r[0] is not None]
     rows = sorted(set(rows), key=lambda r: -r[0])
