@@ -45,3 +45,19 @@ def test_base_columns_are_at_hand(spark):
     at = base("s", t.node("n", F.lit(0)))
     assert found.based.where(F.concat(F.lit(f"<{EX}n/"), F.col(f"`{at}`").cast("string"), F.lit(">")) != F.col("s")).isEmpty()
     assert at not in found.df.columns and "sha2" not in plan(found.based.select(f"`{at}`"))
+
+
+def test_a_body_is_matched_once_for_the_kinds_it_has(spark, tmp_path):
+    spark.range(5).select("id", (F.col("id") % 2).alias("key")).write.parquet(str(tmp_path / "x"))
+    df = spark.read.parquet(str(tmp_path / "x"))
+    g = Graph.union_of([t.branch(df, t.node("n", F.col("id")), t.name("of"), t.integer(F.col("key")))], True)
+    out = parse_rule(f"for ?a, ?k {{ ?a <{EX}of> ?k . }} => {{ (>= ?k 1) . }}").violations(g)
+    assert out.count() == 3 and plan(out).count("Relation") == 1
+
+
+def test_two_nodes_that_differ_are_told_apart_by_their_columns(spark):
+    _, x = table(spark, 40, 7, "of")
+    out = parse_rule(SAME.format("?a = ?b .")).violations(Graph.union_of([x], True), based=True)
+    assert "concat" not in plan(out.select(*(f"`{c}`" for c in out.columns if " " in c)))
+    sizes = [r["count"] for r in x.quads().groupBy("o").count().collect()]
+    assert out.where(F.col("s") == F.col("o")).isEmpty() and out.count() == sum(n * n - n for n in sizes)
