@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quadrille import terms
 from quadrille.functions.expressions import ERROR, Value, any_literal_parts, canonical_decimal, comparable, comparable_parts, compile_expr, fail, first_error, instantiate, no_error, parse_variables
 from quadrille.model import Call, Eq, Reason, Res, Rule, Signed, Statement, Triple, True_, Validation, Var, expressions, variables_of
-from quadrille.plans.match import bindings
+from quadrille.plans.match import bindings, same
 from quadrille.sources.graph import TERM, TRIPLE, Bound, Graph, Slot
 
 SCHEMA = (
@@ -211,8 +211,15 @@ def deduce(rule: Rule, graph: Graph, seed: DataFrame | dict[int, str] | None = N
         return _frame(rule, graph, found, list(which), ordered, rule_id, namespace, generator)
 
     out = frame(found, range(len(statements)))
-    kinds = {_kind(s.value) for s in statements}
-    parts = [(kind, lambda: out) for kind in sorted(kinds)]
+    # that two variables differ fails only where they are the same: such matches are joined on it, not found among all pairs
+    differ = {} if seed is not None or exclude is not None else {
+        k: (s.value.a.index, s.value.b.index) for k, s in enumerate(statements)
+        if isinstance(s.value, Eq) and not s.positive and isinstance(s.value.a, Var) and isinstance(s.value.b, Var)
+        and s.value.a != s.value.b and {s.value.a.index, s.value.b.index} <= set(found.encoders)
+    }
+    parts = [("eq", lambda k=k, pair=pair: frame(same(rule, graph, *pair), [k])) for k, pair in differ.items()]
+    kinds = {_kind(s.value) for k, s in enumerate(statements) if k not in differ}
+    parts += [(kind, lambda: out.where(~F.col("stmt_idx").isin(*differ)) if differ else out) for kind in sorted(kinds)]
     return Deductions(out, predicates, tuple(parts))
 
 

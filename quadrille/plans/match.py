@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.model import Pattern, Res, Rule, Signed, Var
+from quadrille.model import Hypothesis, Pattern, Res, Rule, Signed, Var
 from quadrille.sources.graph import Bound, Graph
 
 #: About as many rows of a key, on either side, are joined at a time where both sides may have many.
@@ -89,6 +91,17 @@ def bindings(rule: Rule, graph: Graph, seed: Bound | None = None, exclude: int |
     return Bound(graph.spark.range(1).select(F.lit(1).alias("_one")), {}) if out is None else out
 
 
+def same(rule: Rule, graph: Graph, a: int, b: int) -> Bound:
+    """The matches in which variables ``a`` and ``b`` are the same term, as bindings gives them: those of the rule with one for the other."""
+    patterns = []
+    for p in rule.hypothesis.patterns:
+        parts = (Var(a) if x == Var(b) else x for x in p.value.parts)
+        patterns.append(Signed(p.positive, Pattern(*parts)))
+    found = bindings(replace(rule, hypothesis=Hypothesis(tuple(patterns))), graph)
+    more = [F.col(c).alias(f"v{b}_{i}") for i, c in enumerate(found.names(a))]
+    return Bound(found.df.select("*", *more), found.encoders | {b: found.encoders[a]})
+
+
 def substitutions(rule: Rule, graph: Graph, seed: DataFrame | None = None, exclude: int | None = None) -> DataFrame:
     """All matches of the rule's patterns (but number ``exclude``), a column v<index> for each bound variable.
 

@@ -61,3 +61,24 @@ def test_two_nodes_that_differ_are_told_apart_by_their_columns(spark):
     assert "concat" not in plan(out.select(*(f"`{c}`" for c in out.columns if " " in c)))
     sizes = [r["count"] for r in x.quads().groupBy("o").count().collect()]
     assert out.where(F.col("s") == F.col("o")).isEmpty() and out.count() == sum(n * n - n for n in sizes)
+
+
+def test_nodes_that_must_differ_are_joined_on_being_the_same(spark):
+    _, x = table(spark, 40, 7, "of")
+    out = parse_rule(SAME.format("! ?a = ?b .")).violations(Graph.union_of([x], True))
+    joins = [line for line in plan(out).splitlines() if "Join" in line]
+    assert len(joins) == 1 and "v0_0" in joins[0] and "v1_0" in joins[0]
+    assert out.count() == 40 and out.where(F.col("s") != F.col("o")).isEmpty() and {r["reason"] for r in out.collect()} == {"not_ne"}
+
+
+def test_violations_of_mixed_statements_are_those_deduced(spark):
+    p = f"<{EX}of>"
+    g = Graph.of(spark, [("_:a", p, "_:k"), ("_:b", p, "_:k"), ("_:b", p, "_:k", f"<{EX}g>"), ("_:c", p, "_:l")])
+    found = parse_rule(SAME.format(f'! ?a = ?b . ?a = ?b . ?a {p} ?n . ! ?b = ?a . ?a <{EX}no> ?b . (= 1 2) . ! ?a = ?a .')).deduce(g)
+    out = found.violations(g)
+    pairs = 3 * 3 + 1
+    same = 1 + 2 * 2 + 1
+    want = {(0, "not_ne"): same, (1, "not_eq"): pairs - same, (3, "not_ne"): same, (4, "missing_triple"): pairs, (5, "not_true"): pairs, (6, "not_ne"): pairs}
+    assert {(r["stmt_idx"], r["reason"]): r["count"] for r in out.groupBy("stmt_idx", "reason").count().collect()} == want
+    both = ["deduction_id", "substitution", "stmt_idx", "positive", "s", "o"]
+    assert out.select(*both).exceptAll(found.df.select(*both)).isEmpty()
