@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille import terms
-from quadrille.functions.expressions import ERROR, Value, any_literal_parts, canonical_decimal, comparable, comparable_parts, compile_expr, fail, first_error, instantiate, no_error, parse_variables
+from quadrille.functions.expressions import ERROR, Value, canonical_decimal, comparable, comparable_parts, compile_expr, fail, first_error, instantiate, no_error, parse_variables
 from quadrille.model import Call, Eq, Reason, Res, Rule, Signed, Statement, Triple, True_, Validation, Var, expressions, variables_of
 from quadrille.plans.match import bindings, same
 from quadrille.sources.graph import TERM, TRIPLE, Bound, Graph, Slot
@@ -174,14 +174,18 @@ def base(place: str, slot: Slot, k: int = 0) -> str:
 
 
 def _readings(graph: Graph) -> DataFrame:
-    """(resource, kind, value, error, lexical, any_error) of resources that stand for literals; several must agree, decimals by their value."""
-    own = graph.interpretation.select("resource", "term").where(terms.is_literal(F.col("term"))).distinct()
-    kind, value, error = comparable_parts(F.col("term"))
-    lex, _ = any_literal_parts(F.col("term"))
-    same = F.when(kind == "d", canonical_decimal(value)).otherwise(value)
-    rows = own.select("resource", kind.alias("kind"), value.alias("value"), same.alias("same"), error.alias("error"), lex.alias("lexical"))
-    many = F.when(F.count_distinct("kind", "same") > 1, fail("AmbiguousLiteral", F.col("resource")))
-    several = F.when(F.count_distinct("lexical") > 1, fail("AmbiguousLiteral", F.col("resource")))
+    """(resource, kind, value, error, lexical, any_error) of resources that stand for literals; several must agree, decimals by their value.
+
+    They agree if the least is the greatest, which needs neither distinct terms nor a copy of the rows for each count. Only
+    terms are dealt out, into as many tasks as shuffles have; sorting what is read of them before that takes much memory.
+    """
+    n = int(graph.spark.conf.get("spark.sql.shuffle.partitions"))
+    own = graph.interpretation.select("resource", "term").where(terms.is_literal(F.col("term"))).repartition(n, "resource")
+    kind, value, error = comparable_parts(F.col("term"), F.col("lexical"))
+    rows = own.withColumn("lexical", terms.lexical(F.col("term"))).select("resource", "lexical", kind.alias("kind"), value.alias("value"), error.alias("error"))
+    rows = rows.withColumn("same", F.struct("kind", F.when(F.col("kind") == "d", canonical_decimal(F.col("value"))).otherwise(F.col("value")).alias("value")))
+    many = F.when(F.min("same") != F.max("same"), fail("AmbiguousLiteral", F.col("resource")))
+    several = F.when(F.min("lexical") != F.max("lexical"), fail("AmbiguousLiteral", F.col("resource")))
     return rows.groupBy("resource").agg(
         F.min("kind").alias("kind"), F.min("value").alias("value"), F.coalesce(F.min("error"), many).alias("error"), F.min("lexical").alias("lexical"), several.alias("any_error")
     )

@@ -82,3 +82,14 @@ def test_violations_of_mixed_statements_are_those_deduced(spark):
     assert {(r["stmt_idx"], r["reason"]): r["count"] for r in out.groupBy("stmt_idx", "reason").count().collect()} == want
     both = ["deduction_id", "substitution", "stmt_idx", "positive", "s", "o"]
     assert out.select(*both).exceptAll(found.df.select(*both)).isEmpty()
+
+
+def test_readings_are_one_aggregation(spark):
+    int_, dec = terms.XSD + "int", terms.DECIMAL
+    means = [("_:a", terms.literal("7", int_)), ("_:a", terms.literal("+7.0", dec)), ("_:b", terms.literal("7", int_)), ("_:b", terms.literal("8", int_)), ("_:b", "_:x"),
+             ("_:c", terms.literal("7", int_)), ("_:c", terms.literal("7", int_)), ("_:d", terms.literal("7", int_)), ("_:d", terms.literal("7"))]
+    facts = [(f"_:{c}", f"<{EX}of>", "_:k") for c in "abcd"]
+    g = Graph.of(spark, facts, spark.createDataFrame(means, "resource string, term string"))
+    out = parse_rule(f"for ?a, ?k {{ ?a <{EX}of> ?k . }} => {{ (>= ?a 0) . }}").deduce(g)
+    assert sorted((r["substitution"][0], r["error"]["code"]) for r in out.errors().collect()) == [("_:b", "AmbiguousLiteral"), ("_:d", "AmbiguousLiteral")]
+    assert "Expand" not in plan(out.errors())
